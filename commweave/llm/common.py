@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of characters other than ASCII space and the controls 9 to 13.
@@ -22,7 +23,7 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def count_words(text: pa.Array) -> pa.Array:
     """Words of UTF-8 texts given as binary; null has none. bytes.split() cuts at exactly the six ASCII spaces."""
     return pa.array([0 if x is None else len(x.split()) for x in text.to_pylist()], pa.int64())

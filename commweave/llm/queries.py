@@ -8,6 +8,13 @@ from pyspark.sql import types as T
 
 from commweave.llm.common import cut, table, word_count
 from commweave.llm.mixing import mix, source_targets
+from commweave.llm.simhash import near_duplicates
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +28,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.join(known, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_repeats")).alias("taken"), F.col("_repeats").alias("repeats"))
 
 
-QUERIES = {"op8_mixing": op8_mixing}
+QUERIES = {"op3_simhash": op3_simhash, "op8_mixing": op8_mixing}
 ORACLE_SQL: dict[str, str] = {}
