@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 
 from commweave.llm.common import cut, table, word_count
 from commweave.llm.mixing import mix, source_targets
+from commweave.llm.sharding import shard
 from commweave.llm.simhash import near_duplicates
+from commweave.llm.sql import OP5_SQL
+from commweave.llm.urls import judge
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, by the law of even rows."""
+    placed = shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page."""
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     sized = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
@@ -28,5 +42,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.join(known, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_repeats")).alias("taken"), F.col("_repeats").alias("repeats"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op8_mixing": op8_mixing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op8_mixing": op8_mixing}
+ORACLE_SQL = {"op5_urls": OP5_SQL}
