@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commweave.llm.common import cut, table, word_count
+from commweave.llm.jpeg import text_features
 from commweave.llm.mixing import mix, source_targets
 from commweave.llm.sharding import shard
 from commweave.llm.simhash import near_duplicates
@@ -42,5 +43,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.join(known, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_repeats")).alias("taken"), F.col("_repeats").alias("repeats"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op8_mixing": op8_mixing}
+def op9_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sizes, checksums and feature of every document's text, stored as a progressive JPEG and read back."""
+    return text_features(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op8_mixing": op8_mixing, "op9_jpeg": op9_jpeg}
 ORACLE_SQL = {"op5_urls": OP5_SQL}
