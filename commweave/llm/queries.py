@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commweave.llm.common import cut, table, word_count
+from commweave.llm.decontam import leaks
 from commweave.llm.jpeg import text_features
 from commweave.llm.mixing import mix, source_targets
 from commweave.llm.sharding import shard
@@ -32,6 +33,11 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, similarity, start of every benchmark item found in a document."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     sized = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
@@ -48,5 +54,5 @@ def op9_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op8_mixing": op8_mixing, "op9_jpeg": op9_jpeg}
+QUERIES = {"op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op7_decontamination": op7_decontamination, "op8_mixing": op8_mixing, "op9_jpeg": op9_jpeg}
 ORACLE_SQL = {"op5_urls": OP5_SQL}
