@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commweave.llm.common import cut, table, word_count
+from commweave.llm.common import crc_mod, cut, table, word_count
 from commweave.llm.decontam import leaks
 from commweave.llm.jpeg import text_features
+from commweave.llm.langid import predict, train
 from commweave.llm.mixing import mix, source_targets
 from commweave.llm.sharding import shard
 from commweave.llm.simhash import near_duplicates
@@ -16,6 +17,14 @@ from commweave.llm.sql import OP5_SQL
 from commweave.llm.urls import judge
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; learned from the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    net = train(docs.where(~held_out))
+    return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -54,5 +63,5 @@ def op9_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op7_decontamination": op7_decontamination, "op8_mixing": op8_mixing, "op9_jpeg": op9_jpeg}
+QUERIES = {"op1_langid": op1_langid, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op7_decontamination": op7_decontamination, "op8_mixing": op8_mixing, "op9_jpeg": op9_jpeg}
 ORACLE_SQL = {"op5_urls": OP5_SQL}
