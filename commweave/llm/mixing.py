@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: documents at least, and LEAST documents where there are fewer.
 FINE, LEAST = 4096, 2000
 MAX_REPEAT = 3
+#: Patterns up to which their plan is sent to all tasks; beyond, it is joined by shuffle.
+BROADCAST_PATTERNS = 100_000
 #: Cost of a word's first, second and third use: convex, so no document is used again while another can serve.
 PASS_COSTS = (0, 1, 3)
 
@@ -133,7 +135,7 @@ def mix(docs: DataFrame, doc_id: Column, members: Column, size: str, quotas=None
         .agg(F.min("_bucket").alias("_end"), F.max(F.col("_rest") - F.col("before")).alias("_left"))
     )
     plan = spark.createDataFrame(plan.join(ends, "_pattern", "left").collect(), "_pattern string, _copies int, _rest long, _coarse int, _end int, _left long")
-    placed = keyed.join(plan, "_pattern").withColumn("_bucket", coarse)
+    placed = keyed.join(F.broadcast(plan) if len(found) <= BROADCAST_PATTERNS else plan, "_pattern").withColumn("_bucket", coarse)
     clear = placed.where(F.coalesce(F.col("_bucket") != F.col("_end"), F.lit(True))).withColumn("_repeats", F.col("_copies") + F.when(F.col("_bucket") < F.col("_end"), 1).otherwise(0))
     ending = placed.where(F.col("_bucket") == F.col("_end")).withColumns({"_order": F.xxhash64(F.lit(seed + 1), doc_id), "_repeats": F.col("_copies")})
     helpers = ["_fine", "_size", "_copies", "_rest", "_coarse", "_end", "_left", "_bucket"]

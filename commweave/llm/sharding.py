@@ -57,7 +57,7 @@ def propagate(members: DataFrame, room: list[int], steps: int = STEPS) -> DataFr
 
 
 def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of every row; shards' counts differ by one at most, slots count from 0.
+    """(doc_id, size, text_crc32, group, shard, slot) of every row; group: SHA-256 of the text; shards' counts differ by one at most, slots count from 0.
 
     size: UTF-8 bytes and 8. Null texts have no bytes and no links; null and repeated ids are rows like any other.
     A group larger than a shard is spread over few shards; an empty table gives an empty one.
@@ -92,4 +92,18 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     target = sum((F.when(queue >= g, 1).otherwise(0) for g in gaps[1:]), F.lit(0))
     there = F.when(spare >= 0, F.least(target, F.lit(shards - 1))).otherwise(F.col("shard"))
     filled = _pick([min(n, q) for n, q in zip(load, quota)], F.col("there")) + queue - _pick(gaps, F.col("there"))
-    return ranked.withColumn("there", there.cast("int")).select("doc_id", "size", "text_crc32", F.col("there").alias("shard"), F.when(spare >= 0, filled).otherwise(F.col("rank")).cast("long").alias("slot"))
+    return ranked.withColumn("there", there.cast("int")).select("doc_id", "size", "text_crc32", "group", F.col("there").alias("shard"), F.when(spare >= 0, filled).otherwise(F.col("rank")).cast("long").alias("slot"))
+
+
+def place(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
+    """``docs`` plus shard and slot (which must not be there already).
+
+    Rows of one id and text share their slots out among themselves; only such repeats meet in one task.
+    """
+    if clash := {"shard", "slot"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    key = lambda i, g: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), F.coalesce(g, F.lit("-")))
+    slots = shard(docs, doc_id, text, shards).groupBy(key(F.col("doc_id"), F.col("group")).alias("_key")).agg(F.collect_list(F.struct("shard", "slot")).alias("_slots"))
+    joined = docs.withColumn("_key", key(F.col(doc_id), F.sha2(F.col(text).cast("binary"), 256))).join(slots, "_key")
+    one = F.element_at("_slots", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    return joined.withColumn("_slot", one).select(*[joined[c] for c in docs.columns], "_slot.shard", "_slot.slot")
