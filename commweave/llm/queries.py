@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commweave.llm.common import crc_mod, cut, table, word_count
+from commweave.llm.ctw import score_texts
 from commweave.llm.decontam import leaks
 from commweave.llm.jpeg import text_features
 from commweave.llm.langid import predict, train
@@ -42,6 +43,12 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op6_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, counts, base_score and score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return score_texts(docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out")), "held_out")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, similarity, start of every benchmark item found in a document."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -63,5 +70,5 @@ def op9_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_langid": op1_langid, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op7_decontamination": op7_decontamination, "op8_mixing": op8_mixing, "op9_jpeg": op9_jpeg}
+QUERIES = {"op1_langid": op1_langid, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op6_ctw": op6_ctw, "op7_decontamination": op7_decontamination, "op8_mixing": op8_mixing, "op9_jpeg": op9_jpeg}
 ORACLE_SQL = {"op5_urls": OP5_SQL}
