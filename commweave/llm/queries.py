@@ -12,6 +12,7 @@ from commweave.llm.decontam import leaks
 from commweave.llm.jpeg import text_features
 from commweave.llm.langid import predict, train
 from commweave.llm.mixing import mix, source_targets
+from commweave.llm.pii import KINDS, listed, spans
 from commweave.llm.sharding import shard
 from commweave.llm.simhash import near_duplicates
 from commweave.llm.sql import OP5_SQL
@@ -70,5 +71,13 @@ def op9_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_langid": op1_langid, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op6_ctw": op6_ctw, "op7_decontamination": op7_decontamination, "op8_mixing": op8_mixing, "op9_jpeg": op9_jpeg}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts, base_sha256 and spans of every document."""
+    found = spans(table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.filter("base", lambda x: x["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op1_langid": op1_langid, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op6_ctw": op6_ctw, "op7_decontamination": op7_decontamination, "op8_mixing": op8_mixing, "op9_jpeg": op9_jpeg, "op10_pii": op10_pii}
 ORACLE_SQL = {"op5_urls": OP5_SQL}
