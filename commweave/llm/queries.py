@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from commweave.llm.chat import repair
 from commweave.llm.common import crc_mod, cut, table, word_count
 from commweave.llm.ctw import score_texts
 from commweave.llm.decontam import leaks
@@ -27,6 +28,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired and rendered conversations."""
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -79,5 +85,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_langid": op1_langid, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op6_ctw": op6_ctw, "op7_decontamination": op7_decontamination, "op8_mixing": op8_mixing, "op9_jpeg": op9_jpeg, "op10_pii": op10_pii}
+QUERIES = {"op1_langid": op1_langid, "op2_chat": op2_chat, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_urls": op5_urls, "op6_ctw": op6_ctw, "op7_decontamination": op7_decontamination, "op8_mixing": op8_mixing, "op9_jpeg": op9_jpeg, "op10_pii": op10_pii}
 ORACLE_SQL = {"op5_urls": OP5_SQL}
