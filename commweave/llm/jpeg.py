@@ -558,11 +558,10 @@ def text_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def decode_media(df: DataFrame, media: str, prefix: str = "") -> DataFrame:
     """``df`` plus height, width and rgb (row-major bytes of the full-resolution tensor) of a column of JPEG files.
 
-    Null for a null or one that isn't a progressive JPEG; the new columns are named with ``prefix``.
+    Null for a null or one that isn't a progressive JPEG; columns named like the new ones (with ``prefix``) are replaced.
     """
     names = [f"{prefix}{x}" for x in ("height", "width", "rgb")]
-    if clash := set(names) & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already; choose a prefix")
+    df = df.drop(*names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

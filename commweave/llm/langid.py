@@ -192,10 +192,8 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", lang_pred:
     """``docs`` plus the predicted language and its pooled probability.
 
     A null text or one without a letter is UNKNOWN with score 0, as is every text if there is no network. Ties go to
-    the language that sorts first. The two new columns must not be there already.
+    the language that sorts first. Columns named like the two new ones are replaced; an empty table stays empty.
     """
-    if clash := {lang_pred, score} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already; name the results otherwise")
     body = F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).cast("binary")
     if net is None:
         return docs.withColumns({lang_pred: F.lit(UNKNOWN), score: F.lit(0.0)})
@@ -213,10 +211,12 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", lang_pred:
                 scores += [float(min(1.0, s)) if t else 0.0 for s, t in zip(shares.max(1).tolist(), texts)]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return docs.withColumn("_judged", judged(body)).withColumns({lang_pred: F.col("_judged.lang"), score: F.col("_judged.score")}).drop("_judged")
+    kept = [c for c in docs.columns if c not in (lang_pred, score)]
+    told = docs.select(F.struct(*kept).alias("doc"), judged(body).alias("judged")) if kept else docs.select(judged(body).alias("judged"))
+    return told.select(*(["doc.*"] if kept else []), F.col("judged.lang").alias(lang_pred), F.col("judged.score").alias(score))
 
 
 def accept(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents in which some language is found with a pooled probability of ``least``; columns are kept."""
-    names = {"lang_pred": "_lang_pred", "score": "_lang_score"}
-    return predict(docs, train(docs), **names).where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(docs.columns)
+    told = predict(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text")), train(docs))
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")

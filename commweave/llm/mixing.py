@@ -8,12 +8,15 @@ document of a pattern is taken ``copies`` times, and a seeded subset once more.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from commweave.llm.common import cut
+
 #: Seeded fine buckets of each pattern; the bucket in which a pattern's last words fall holds about 1/FINE of its
 #: documents at least, and LEAST documents where there are fewer.
 FINE, LEAST = 4096, 2000
@@ -92,21 +95,21 @@ def route(patterns: dict[str, tuple[tuple, int]], quotas: dict, costs: tuple[int
             room[e ^ 1] += pushed
 
 
-def mix(docs: DataFrame, doc_id: Column, members: Column, size: str, quotas=None, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, doc_id: Column, members: Column, size: Column, quotas=None, seed: int = 42) -> DataFrame:
     """``docs`` plus ``_pattern`` (JSON of its sources) and ``_repeats`` (0 to 3, how often the mix takes the document).
 
     members: array of a document's sources; a null or empty array is a pattern of its own that serves no quota, a null
-    element is the null source. size: a long column, null counts as 0. quotas: source to words, or by default
-    ``source_targets`` of the sources' sizes. A document of size 0 follows its pattern's full passes. Equal rows are
-    decided alike but in the one bucket where a pattern's words end; an empty table stays empty.
+    element is the null source. size: null counts as 0. quotas: source to words, or by default ``source_targets`` of the
+    sources' sizes. A document of size 0 follows its pattern's full passes. Equal rows are decided alike but in the one
+    bucket where a pattern's words end. Columns named like the two new ones are replaced; an empty table stays empty.
     """
-    spark = docs.sparkSession
-    fine = F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(FINE)).cast("int")
-    keyed = docs.withColumns({"_pattern": F.coalesce(F.to_json(F.array_sort(F.array_distinct(members))), F.lit("[]")), "_fine": fine, "_size": F.coalesce(F.col(size), F.lit(0)).cast("long")})
-    buckets = keyed.groupBy("_pattern", "_fine").agg(F.count("*").alias("n"), F.sum("_size").alias("words"))
+    spark, names = docs.sparkSession, [c for c in docs.columns if c not in ("_pattern", "_repeats")]
+    held = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    pattern = F.coalesce(F.to_json(F.array_sort(F.array_distinct(members))), F.lit("[]"))
+    keyed = docs.select(*held, doc_id.alias("_id"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), pattern.alias("_pattern"))
+    keyed = keyed.withColumn("_fine", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(FINE)).cast("int"))
+    buckets = cut(keyed.groupBy("_pattern", "_fine").agg(F.count("*").alias("n"), F.sum("_size").alias("words")))
     totals = buckets.groupBy("_pattern").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-    import json
-
     found = {r["_pattern"]: r for r in totals.collect()}
     patterns = {k: (tuple(json.loads(k)), r["words"]) for k, r in found.items()}
     if quotas is None:
@@ -137,10 +140,10 @@ def mix(docs: DataFrame, doc_id: Column, members: Column, size: str, quotas=None
     plan = spark.createDataFrame(plan.join(ends, "_pattern", "left").collect(), "_pattern string, _copies int, _rest long, _coarse int, _end int, _left long")
     placed = keyed.join(F.broadcast(plan) if len(found) <= BROADCAST_PATTERNS else plan, "_pattern").withColumn("_bucket", coarse)
     clear = placed.where(F.coalesce(F.col("_bucket") != F.col("_end"), F.lit(True))).withColumn("_repeats", F.col("_copies") + F.when(F.col("_bucket") < F.col("_end"), 1).otherwise(0))
-    ending = placed.where(F.col("_bucket") == F.col("_end")).withColumns({"_order": F.xxhash64(F.lit(seed + 1), doc_id), "_repeats": F.col("_copies")})
-    helpers = ["_fine", "_size", "_copies", "_rest", "_coarse", "_end", "_left", "_bucket"]
+    ending = placed.where(F.col("_bucket") == F.col("_end")).withColumns({"_order": F.xxhash64(F.lit(seed + 1), "_id"), "_repeats": F.col("_copies")})
     chosen = ending.groupBy("_pattern").applyInPandas(_fill, ending.schema)
-    return clear.drop(*helpers).unionByName(chosen.drop(*helpers, "_order"))
+    back = [*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "_pattern", "_repeats"]
+    return clear.select(*back).unionByName(chosen.select(*back))
 
 
 def _fill(docs: pd.DataFrame) -> pd.DataFrame:

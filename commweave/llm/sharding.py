@@ -96,14 +96,13 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
 
 
 def place(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """``docs`` plus shard and slot (which must not be there already).
+    """``docs`` plus shard and slot; columns of these names are replaced.
 
     Rows of one id and text share their slots out among themselves; only such repeats meet in one task.
     """
-    if clash := {"shard", "slot"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    docs = docs.drop("shard", "slot")
     key = lambda i, g: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), F.coalesce(g, F.lit("-")))
     slots = shard(docs, doc_id, text, shards).groupBy(key(F.col("doc_id"), F.col("group")).alias("_key")).agg(F.collect_list(F.struct("shard", "slot")).alias("_slots"))
-    joined = docs.withColumn("_key", key(F.col(doc_id), F.sha2(F.col(text).cast("binary"), 256))).join(slots, "_key")
+    joined = docs.select(F.struct(*docs.columns).alias("_doc"), key(F.col(doc_id), F.sha2(F.col(text).cast("binary"), 256)).alias("_key")).join(slots, "_key")
     one = F.element_at("_slots", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    return joined.withColumn("_slot", one).select(*[joined[c] for c in docs.columns], "_slot.shard", "_slot.slot")
+    return joined.select("_doc", one.alias("_slot")).select("_doc.*", "_slot.shard", "_slot.slot")
