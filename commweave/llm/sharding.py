@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from commweave.llm.common import Cut, cut
 
-SHARDS, STEPS = 24, 6
+SHARDS, STEPS = 24, 10
 #: Buckets in which the rows of a shard are numbered: groups, then parts of large groups, then documents without links.
 GROUP_BUCKETS, PART_BUCKETS, SINGLE_BUCKETS = 32, 32, 1024
 
@@ -25,18 +25,23 @@ def _pick(values: list[int], at: Column) -> Column:
 def propagate(members: DataFrame, room: list[int], steps: int = STEPS) -> DataFrame:
     """(group, home, n) with 0-based home shards to (group, home, shard): the shard to which each part of a group goes.
 
-    room[t]: rows of groups that shard t may hold. A part wants the shard with most of its group (ties: by a hash of the
-    group). The parts with most members there go first; of those that the quota takes only in part, a hashed share goes.
+    room[t]: rows of groups that shard t may hold. The parts of a group that isn't whole want the shard with most of
+    it among those with room (ties: by a hash), or as many such shards as a larger group fills. The largest groups go first; of those that the quota takes only in part,
+    a hashed share goes, another one in each step.
     """
     now = Cut(members.withColumn("shard", F.col("home")))
-    for _ in range(steps):
+    for number in range(steps):
         state = now.df
+        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         held = state.groupBy("group", "shard").agg(F.sum("n").alias("here"))
-        rank = F.struct("here", F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 31)).alias("tie"))
-        wanted = held.groupBy("group").agg(F.max_by("shard", rank).alias("to"), F.max("here").alias("there"))
-        moves = Cut(state.join(wanted, "group").withColumn("level", F.floor(F.log2(F.col("there") + 1)).cast("int")))
+        open_ = F.element_at(F.array(*[F.lit(room[t] > load.get(t, 0)) for t in range(len(room))]), F.col("shard") + 1)
+        rank = F.struct(open_.alias("open"), "here", F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 31)).alias("tie"), "shard")
+        wanted = held.groupBy("group").agg(F.sort_array(F.collect_list(rank), asc=False).alias("best"), F.sum("here").alias("all")).where(F.size("best") > 1)  # a group has a row for each shard
+        wanted = wanted.withColumn("best", F.slice(F.transform("best", lambda b: b["shard"]), 1, F.ceil(F.col("all") / max(*room, 1)).cast("int")))
+        one = F.element_at("best", F.pmod(F.xxhash64("group", "home"), F.size("best")).cast("int") + 1)
+        to = F.when(F.array_contains("best", F.col("shard")), F.col("shard")).otherwise(one)
+        moves = Cut(state.join(wanted, "group", "left").withColumn("to", to).withColumn("level", F.floor(F.log2(F.col("all") + 1)).cast("int")))
         asked = moves.df.where(F.col("shard") != F.col("to")).groupBy("to", "level").agg(F.sum("n").alias("n")).collect()  # shards * 63 rows at most
-        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         share = {}
         for t in range(len(room)):
             left = room[t] - load.get(t, 0)
@@ -49,7 +54,9 @@ def propagate(members: DataFrame, room: list[int], steps: int = STEPS) -> DataFr
         going = F.lit(0.0)
         for (t, level), part in share.items():
             going = F.when((F.col("to") == t) & (F.col("level") == level), F.lit(part)).otherwise(going)
-        drawn = F.pmod(F.xxhash64("group", F.lit("draw")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        # A group that fits moves as a whole, a larger one part by part.
+        part_of = F.when(F.col("all") > max(room), F.col("home")).otherwise(-1)
+        drawn = F.pmod(F.xxhash64("group", part_of, F.lit(number)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         then, now = now, Cut(moves.df.withColumn("shard", F.when(drawn < going, F.col("to")).otherwise(F.col("shard"))).select("group", "home", "n", "shard"))
         then.drop()
         moves.drop()
