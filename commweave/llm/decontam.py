@@ -24,6 +24,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 23
 #: Shared shingles of a benchmark up to which its shingle table is sent to all tasks; beyond, it is joined by shuffle.
 BROADCAST_SHINGLES = 2_000_000
+#: Window starts up to which they are sent to the documents; beyond, documents and starts are joined by shuffle.
+BROADCAST_STARTS = 1_000_000
 
 
 def bound(value: Column, body) -> Column:
@@ -100,9 +102,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     if starts.isEmpty():
         kind = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"doc_id {kind[0]}, item_id {kind[1]}, similarity double, start int")
-    # Windows are cut out of documents by joining the starts to them once more.
+    # Windows are cut out of the few documents that have starts; only their texts are split and hashed again.
     chosen = starts.groupBy("doc_id").agg(F.collect_set(F.struct("m", "start")).alias("starts"))
-    windows = given.join(chosen, "doc_id").select("doc_id", "hashes", F.explode("starts").alias("s")).select("doc_id", "s.m", "s.start", F.slice("hashes", F.col("s.start") + 1, F.col("s.m")).alias("window"))
+    few = starts.count() <= BROADCAST_STARTS
+    again = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(F.broadcast(chosen) if few else chosen, "doc_id")
+    windows = again.select("doc_id", shingles_of(words_of(F.col("_text"))).alias("hashes"), "starts").select("doc_id", "hashes", F.explode("starts").alias("s")).select("doc_id", "s.m", "s.start", F.slice("hashes", F.col("s.start") + 1, F.col("s.m")).alias("window"))
     windows = windows.withColumn("fp", simhash(F.col("window")))
     width = BITS // BLOCKS
     changed = F.explode(F.array(*[F.lit(c) for c in _changes()]))
