@@ -34,7 +34,7 @@ LOOSE = (
 )
 #: Cheap conditions without which a pattern has no match.
 NEEDS = ("@", r"[0-9]\.[0-9]", r"[0-9][\x20-]?[0-9]", r"\+[0-9]"), (r"[\[(]at[\])]", r":[0-9A-Fa-f]{1,4}:", r"[0-9]{4}[./_][0-9]{4}[./_]", r"[0-9]{3}[.-][0-9]{4}")
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Gazetteers: top-level domains, issuer prefixes, country codes.
 DOMAINS = r"(?i)[.\x20)\]](com|net|org|edu|gov|info|io|biz|de|fr|es|it|nl|uk|eu|ch|at|us|ca|mx)$"
 ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38)"
