@@ -217,9 +217,9 @@ class Scores:
 
 
 def vocabulary(docs: DataFrame, held_out: str, text: str) -> DataFrame:
-    """(token, c, total): training count and count of every token of the texts (binary; empty: the end mark)."""
+    """(token, c, total, id): training count and count of every token of the texts (binary; empty: the end mark); id is distinct in one run only, so the rows are to be written before it is used."""
     given = docs.select(F.col(held_out), F.col(text).cast("binary"))
-    return given.mapInArrow(_count, "token binary, c long, total long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
+    return given.mapInArrow(_count, "token binary, c long, total long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("total").alias("total")).withColumn("id", F.monotonically_increasing_id())
 
 
 def scored_vocabulary(vocab: DataFrame) -> DataFrame:
@@ -242,16 +242,16 @@ def scored_vocabulary(vocab: DataFrame) -> DataFrame:
     def known(batches):
         for b in batches:
             ll, _, _ = frequent.of(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ll)], ["token", "c", "total", "ll"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ll)], ["token", "c", "total", "id", "ll"])
 
     def unknown(batches):
         for b in batches:
             _, key, owner = frequent.of(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(key)], ["token", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(owner)), pa.array(key)], ["id", "key"])
 
-    rest = vocab.select("token").mapInArrow(unknown, "token binary, key long").join(lp.df.select("key", "lp"), "key").groupBy("token").agg(F.sum("lp").alias("more"))
-    scored = vocab.select("token", "c", "total").mapInArrow(known, "token binary, c long, total long, ll double")
-    found = Cut(scored.join(rest, "token", "left").select("token", "c", "total", (F.col("ll") + F.coalesce("more", F.lit(0.0))).alias("ll")))
+    rest = vocab.select("token", "id").mapInArrow(unknown, "id long, key long").join(lp.df.select("key", "lp"), "key").groupBy("id").agg(F.sum("lp").alias("more"))
+    scored = vocab.select("token", "c", "total", "id").mapInArrow(known, "token binary, c long, total long, id long, ll double")
+    found = Cut(scored.join(rest, "id", "left").select("token", "c", "total", (F.col("ll") + F.coalesce("more", F.lit(0.0))).alias("ll")))
     events.drop()
     lp.drop()
     return found.df
