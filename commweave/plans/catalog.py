@@ -28,7 +28,7 @@ def _copart(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(community, n_parts, total_degree) of the co-purchase graph, largest first."""
     g = graph.Graph.from_edges(tables.copart(spark, sf_dir))
-    found = detect(g, rounds=2, levels=2, sub_rounds=4)
+    found = detect(g, rounds=1, levels=2, sub_rounds=4)
     return community.sizes(g.vertices, found).select(F.col("c").alias("community"), F.col("n").alias("n_parts"), F.col("load").alias("total_degree")).orderBy(F.desc("n_parts"), "community")
 
 
