@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commweave.llm.common import SPACES, cut, lower_ascii
+from commweave.llm.common import SPACES, cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 23
@@ -34,8 +34,8 @@ def bound(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Words in lower case (A-Z); no words for null."""
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SPACES), lambda w: w != "")
+    """Words in lower case, letters beyond A-Z included; no words for null."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES), lambda w: w != "")
 
 
 def shingles_of(words: Column) -> Column:

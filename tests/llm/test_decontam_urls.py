@@ -23,7 +23,7 @@ def brute_leaks(docs, items):
 
 
 def test_leaks_match_brute_force(spark, docs_of, prose):
-    items = [(i, prose(20 + 3 * i, 500 + i)) for i in range(8)] + [(8, "only three words"), (9, None), (10, ""), (11, prose(20, 500))]
+    items = [(i, prose(20 + 3 * i, 500 + i)) for i in range(8)] + [(8, "only three words"), (9, None), (10, ""), (11, prose(20, 500)), (12, prose(15, 600).replace("e", "é"))]
     r, rows = random.Random(3), []
     for i in range(60):
         w = prose(30 + i, i).split()
@@ -33,7 +33,7 @@ def test_leaks_match_brute_force(spark, docs_of, prose):
             leak[at : at + (how != "add")] = [] if how == "drop" else ["zz"]
         at = r.randrange(len(w))
         rows.append((i, " ".join(w[:at] + leak + w[at:])))
-    rows += [(100, None), (101, ""), (102, "only three words"), (103, "Only Three words"), (104, items[0][1].upper()), (105, (items[1][1] + " ") * 40), (105, (items[1][1] + " ") * 40), (106, items[2][1][:-3])]
+    rows += [(100, None), (101, ""), (102, "only three words"), (103, "Only Three words"), (104, items[0][1].upper()), (107, "Éa ñb " + items[12][1].upper()), (105, (items[1][1] + " ") * 40), (105, (items[1][1] + " ") * 40), (106, items[2][1][:-3])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]): round(x["similarity"], 9) for x in decontam.leaks(docs_of(rows), benchmark).collect()}
     assert got == brute_leaks(rows, items)
