@@ -22,6 +22,7 @@ from pyspark.sql.types import LongType
 
 from commweave.llm.common import cut
 from commweave.llm.graph import connected_components
+from commweave.llm.nearcopies import near_copies
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
 #: Partitions; each has 64 / PARTS bits, so a histogram of a partition's values has 65,536 entries at most.
@@ -207,11 +208,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; all columns are kept.
+    """One document of each group of near copies (nearcopies: five words, similarity 0.8) stays, the one with the smallest doc_id; all columns are kept.
 
     Of repeated rows with that doc_id one stays. Rows with a null doc_id can't be told apart and all stay.
     """
-    keep = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
+    keep = near_copies(docs).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
     keep = cut(keep)
     once = docs.join(keep.where("count = 1").select("doc_id"), "doc_id", "left_semi")
     repeated = docs.join(keep.where("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
