@@ -6,7 +6,7 @@ at most radius // blocks bits, so probing every block under all such changes fin
 by the exact weighted Jaccard similarity of their shingle counts.
 
 Only windows that can be similar enough are hashed: a window with similarity s shares at least s / (1 + s) of both
-shingle counts, 2 s / (1 + s) of its own, with the item. Of the windows with the same first shared shingle the one that
+shingle counts with the item: 2 s / (1 + s) of its own where it is as large, s of the item's where the document is shorter. Of the windows with the same first shared shingle the one that
 starts there shares the most, so windows start at shared shingles that have enough others in reach.
 """
 
@@ -83,16 +83,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     null doc_id gives rows like any other. Empty tables give an empty one.
     """
     items = cut(benchmark.select(F.col(item_id).alias("item_id"), shingles_of(words_of(F.col(item_text))).alias("item")).where(F.size("item") > 0).distinct())
-    need = F.ceil(F.lit(2 * SIMILARITY / (1 + SIMILARITY)) * F.col("m") - F.lit(1e-9))
     listed = items.select("item_id", F.size("item").alias("m"), F.explode(F.array_distinct("item")).alias("h"))
     # A shingle of many items would repeat a document's position for each; hits meet items by size, and their item only when counted.
-    shared = cut(listed.withColumn("need", need.cast("int")))
+    shared = cut(listed)
     small = shared.count() <= BROADCAST_SHINGLES
     given = docs.select(F.col(doc_id).alias("doc_id"), shingles_of(words_of(F.col(text))).alias("hashes"))
     known = shared.select("h").distinct()
     spots = given.select("doc_id", F.size("hashes").alias("length"), F.posexplode("hashes").alias("pos", "h"))
     spots = cut(spots.join(F.broadcast(known) if small else known, "h", "left_semi"))
-    hits = spots.join(F.broadcast(shared) if small else shared, "h")
+    need = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.least("length", "m") + F.col("m")) - F.lit(1e-9))
+    hits = spots.join(F.broadcast(shared) if small else shared, "h").withColumn("need", need.cast("int"))
     # Enough shared shingles from here on: the hit that makes the count up is at most m - 1 behind the first.
     span = Window.partitionBy("doc_id", "item_id").orderBy("pos")
     numbered = hits.withColumn("n", F.row_number().over(span))

@@ -52,6 +52,18 @@ def test_shuffled_paths_give_the_same(spark, docs_of, prose, monkeypatch):
     assert sorted(map(tuple, decontam.leaks(docs_of(rows), benchmark).collect())) == one and len(one) == 9
 
 
+def test_documents_shorter_than_an_item(spark, docs_of, prose):
+    items = [(0, prose(44, 800)), (1, prose(29, 801))]
+    cuts = [(n, items[0][1].split()[a : a + n]) for n in range(33, 44) for a in (0, 44 - n)] + [(n, items[1][1].split()[:n]) for n in range(21, 29)]
+    rows = [(i, " ".join(w)) for i, (_, w) in enumerate(cuts)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): round(x["similarity"], 9) for x in decontam.leaks(docs_of(rows), benchmark).collect()}
+    want = brute_leaks(rows, items)
+    assert got == want and sum(s < 0.889 for s in want.values()) >= 8
+    clean = {x["doc_id"] for x in decontam.decontaminate(docs_of(rows), benchmark).collect()}
+    assert clean == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_no_documents_or_items(spark, docs_of):
     benchmark = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontam.leaks(docs_of([]), benchmark).count() == 0
