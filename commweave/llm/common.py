@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from commweave.functions.storage import Snapshot as Cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of characters other than ASCII space and the controls 9 to 13.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -33,32 +32,6 @@ def word_count(text: Column) -> Column:
     return count_words(text.cast("binary"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="commweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Cut:
-    """A DataFrame written as Parquet to the shared folder and read back, so that lost executors cost no recomputation.
-
-    ``drop()`` removes the files of a step that no later plan reads.
-    """
-
-    def __init__(self, df: DataFrame):
-        self.path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = df.sparkSession.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self.df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def cut(df: DataFrame) -> DataFrame:
     return Cut(df).df
 

@@ -1,20 +1,21 @@
 """Context-tree weighting over bytes: a language model with the code length of every text.
 
-A text is its words, each spelled as its bytes and a space, and one end mark. Every byte is eight binary decisions; a
-decision's counts under the last 0, 1, ..., DEPTH bytes of its word give Krichevsky-Trofimov estimates, and the
-weighted context tree mixes them over all depths. Contexts reach no further than the word, so a text's code length is
-the sum of its words', and each distinct word is scored once.
-
-The tree is cut at CUT bytes: below, the contexts with the same last CUT bytes are a tree of their own and are weighted
-in one task; above, the tables have 255 * 256 rows at most and are completed on the driver.
+A text is coded as its words in lower case, joined by one space, and an end mark. Every byte is eight binary decisions;
+a decision's counts under the last 0, 1, ..., DEPTH bytes, across words, give Krichevsky-Trofimov estimates, and the
+weighted context tree mixes them over all depths. An event is a byte with its context; texts share events, so each
+distinct event is weighed once and every text looks up all of its own.
+
+An event's key holds the context's bytes, the last one highest, so that contexts with the same last bytes lie together
+in sorted order. The tree is cut at ``cut_at`` bytes, so deep that every subtree below has few events: subtrees are
+weighted in numpy, many at a time; the levels above are aggregations over contexts and nodes, of which there are 256 at
+depth 0 and 65,536 at depth 1 at most, and these two are completed on the driver.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,16 @@ from pyspark.sql import functions as F
 
 from commweave.llm.common import Cut, cut
 
-DEPTH, CUT = 5, 2
-SPACE, END = 0x20, 0x0A
-#: Tokens that make up 1/HOT of all at least (so HOT at most), if not longer than SHORT bytes, are sent to all tasks.
-HOT, SHORT = 65_536, 64
-#: Distinct tokens that a task counts before it hands them on.
-FLUSH = 400_000
+DEPTH = 6
+END = b"\n"
+#: The shallowest cut, and distinct events that a subtree below the cut may have before the cut goes a byte deeper.
+LEAST_CUT, GROUP = 3, 200_000
+#: Events and tokens sent to all tasks: HOT of 16 bytes; tokens that make up 1/OFTEN of all at least (so OFTEN at most), if not longer than SHORT bytes.
+HOT, OFTEN, SHORT = 1 << 21, 65_536, 64
+#: Distinct events or bytes of distinct tokens that a task gathers before it hands them on; bytes of text and texts that are looked up together.
+FLUSH_EVENTS, FLUSH_TOKENS, TOGETHER, TEXTS = 1 << 21, 1 << 24, 1 << 21, 256
 LN2 = math.log(2)
+_LEVELS = np.arange(8)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -49,126 +53,135 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - math.log(math.pi)
 
 
-def spell(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The events of tokens (the empty one is the end mark): DEPTH bytes of context and the byte, packed into a long; and how many each token has."""
-    pad = bytes([SPACE]) * DEPTH
-    buffer = np.frombuffer(b"".join(pad + (t + b" " if t else b"\n") for t in tokens), np.uint8).astype(np.int64)
-    lengths = np.fromiter((len(t) + 1 for t in tokens), np.int64, len(tokens))
-    key = np.zeros(len(buffer) - DEPTH, np.int64) if len(buffer) else np.zeros(0, np.int64)
-    for i in range(DEPTH + 1):
-        key = key << 8 | buffer[i : len(buffer) - DEPTH + i]
-    starts = np.cumsum(lengths + DEPTH) - lengths - DEPTH
-    at = np.arange(lengths.sum()) + np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) if len(tokens) else np.zeros(0, np.int64)
-    return key[at], lengths
+def spelled(text: bytes | None) -> bytes:
+    """The bytes that stand for a text: its words in lower case (A-Z), one space between them, and the end mark."""
+    return b" ".join((text or b"").lower().split()) + END
 
 
-def context(key: np.ndarray, depth: int) -> np.ndarray:
-    return key >> 8 & ((1 << 8 * depth) - 1)
+def events(texts: list[bytes]) -> np.ndarray:
+    """Keys of all bytes of spelled texts, in order. A text's first bytes have end marks for context."""
+    buffer = np.frombuffer(END * DEPTH + (END * DEPTH).join(texts), np.uint8).astype(np.uint64)
+    n = len(buffer) - DEPTH
+    key = buffer[DEPTH:].copy()
+    for i in range(1, DEPTH + 1):
+        key |= buffer[DEPTH - i : DEPTH - i + n] << np.uint64(8 * (DEPTH + 1 - i))
+    inside = np.ones(n, bool)
+    for at in np.cumsum([len(t) + DEPTH for t in texts[:-1]]).tolist():
+        inside[at - DEPTH : at] = False
+    return key[inside]
 
 
-@dataclass
-class Top:
-    """Mixing weight of the own estimate and the estimate of a one, for contexts of fewer than CUT bytes: by depth, context and node; weight -1 where there are no data."""
-
-    weight: list[np.ndarray]
-    one: list[np.ndarray]
-
-
-class Subtree:
-    """The contexts of CUT to DEPTH bytes of some events (key, n), complete below their last CUT bytes."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray):
-        self.key = key
-        byte, levels = key & 255, np.arange(8)
-        self.bit = byte[:, None] >> (7 - levels) & 1
-        self.node = (1 << levels) | (byte[:, None] >> (8 - levels))  # events x 8
-        weight, one = n.astype(np.float64), {}
-        below, self.index, self.counts, self.logpw, self.beta = None, {}, {}, {}, {}
-        for d in range(DEPTH, CUT - 1, -1):
-            ids, where = np.unique((context(key, d)[:, None] << 8 | self.node).ravel(), return_inverse=True)
-            ones = np.bincount(where, (weight[:, None] * self.bit).ravel(), len(ids))
-            all_ = np.bincount(where, np.repeat(weight, 8), len(ids))
-            self.index[d], self.counts[d] = where.reshape(-1, 8), (all_ - ones, ones)
-            own = log_kt(all_ - ones, ones)
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of an array that is sorted in place, and how often each occurs."""
+    keys.sort()
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.diff(np.r_[starts, len(keys)])
+
+
+class Weights:
+    """What one level makes of zeros, ones and the sum of the children's logpw (None: no children), for each (context, node)."""
+
+    def __init__(self, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+        self.seen, self.one = zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1)
+        own = log_kt(zeros, ones)
+        self.logpw = own if below is None else np.where(self.seen, np.logaddexp(own, below) - LN2, 0.0)
+        self.own = np.ones(len(own)) if below is None else 1 / (1 + np.exp(-np.clip(own - below, -500, 500)))
+
+    def down(self, a, b, f) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the level above to this one: a decision's chance of a one is f if its path ends here, else a + b times what the levels below say.
+
+        A path ends at the last context with training data: there the own estimate stands for all that lies below.
+        """
+        f = np.where(self.seen, a + b * self.one, f)
+        return np.where(self.seen, a + b * self.own * self.one, a), np.where(self.seen, b * (1 - self.own), b), f
+
+
+#: What lies above the root: without any training data every bit is 1/2 likely.
+ABOVE = (0.0, 1.0, 0.5)
+
+
+class Forest:
+    """Whole subtrees of the contexts of ``cut_at`` to DEPTH bytes, of sorted distinct keys with training counts n.
+
+    An entry is a context with a node of the byte's binary tree; up[DEPTH] leads from an event's eight decisions to
+    entries, up[d] from the entries of depth d + 1 to those of depth d.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, cut_at: int):
+        byte = (keys & np.uint64(255)).astype(np.int64)
+        self.bit = byte[:, None] >> (7 - _LEVELS) & 1
+        node = (1 << _LEVELS) | (byte[:, None] >> (8 - _LEVELS))
+        self.levels: dict[int, Weights] = {}
+        self.up: dict[int, np.ndarray] = {}
+        context, below = keys >> np.uint64(8), None
+        for d in range(DEPTH, cut_at - 1, -1):
+            starts = np.r_[True, context[1:] != context[:-1]]
+            number, context = np.cumsum(starts) - 1, context[starts]
             if d == DEPTH:
-                self.logpw[d] = own
+                ids, up = np.unique((number[:, None] << 8 | node).ravel(), return_inverse=True)
+                all_ = np.bincount(up, np.repeat(n.astype(np.float64), 8), len(ids))
+                ones = np.bincount(up, (n[:, None] * self.bit).ravel().astype(np.float64), len(ids))
+                zeros = all_ - ones
             else:
-                # a child's node is the node of any of its events; each child counts once
-                child = np.zeros(len(self.logpw[d + 1]), np.int64)
-                child[self.index[d + 1].ravel()] = where
-                children = np.bincount(child, self.logpw[d + 1], len(ids))
-                self.beta[d] = own - children
-                self.logpw[d] = np.logaddexp(own, children) - LN2
-        self.ids = ids  # of depth CUT
-
-    def summary(self) -> pd.DataFrame:
-        """(context, node, zeros, ones, logpw) of depth CUT, as its parents need them: context of CUT - 1 bytes."""
-        zeros, ones = self.counts[CUT]
-        return pd.DataFrame({"context": self.ids >> 8 & ((1 << 8 * (CUT - 1)) - 1), "node": self.ids & 255, "zeros": zeros, "ones": ones, "logpw": self.logpw[CUT]})
-
-    def log10(self, top: Top) -> np.ndarray:
-        """Each event's log10 probability. A context without data ends the path: what is above it decides."""
-        p = None
-        for d in range(DEPTH, CUT - 1, -1):
-            zeros, ones = (x[self.index[d]] for x in self.counts[d])
-            seen, own = zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1)
-            if d < DEPTH:
-                w = 1 / (1 + np.exp(-np.clip(self.beta[d][self.index[d]], -500, 500)))
-                mixed = w * own + (1 - w) * p
-                own = np.where(deeper, mixed, own)
-            p, deeper = own, seen
-        for d in range(CUT - 1, -1, -1):
-            at = context(self.key, d)[:, None] << 8 | self.node
-            w, own = top.weight[d][at], top.one[d][at]
-            p, deeper = np.where(w < 0, 0.5, np.where(deeper, np.maximum(w, 0) * own + (1 - np.maximum(w, 0)) * p, own)), w >= 0
+                ids, up = np.unique(number[at >> 8] << 8 | at & 255, return_inverse=True)  # noqa: F821
+                zeros, ones, below = (np.bincount(up, x, len(ids)) for x in (zeros, ones, self.levels[d + 1].logpw))  # noqa: F821
+            at, self.up[d], self.levels[d] = ids, up, Weights(zeros, ones, below)
+            if d > cut_at:
+                context = context >> np.uint64(8)
+        self.context, self.node, self.zeros, self.ones = context[at >> 8], at & 255, zeros, ones
+        self.logpw = self.levels[cut_at].logpw
+
+    def log10(self, a, b, f) -> np.ndarray:
+        """Each event's log10 probability, given what the levels above say to the entries at the cut."""
+        for d in sorted(self.levels):
+            if d != min(self.levels):
+                a, b, f = (x[self.up[d - 1]] for x in (a, b, f))
+            a, b, f = self.levels[d].down(a, b, f)
+        p = f[self.up[DEPTH]].reshape(-1, 8)
         return np.log10(np.where(self.bit == 1, p, 1 - p)).sum(1)
 
 
-def complete(rows: pd.DataFrame) -> Top:
-    """The contexts of CUT - 1 to 0 bytes from the sums (context, node, zeros, ones, logpw) of their children."""
-    top = Top([], [])
-    zeros, ones, below = (np.zeros(256 << 8 * (CUT - 1)) for _ in range(3))
-    at = (rows["context"].to_numpy(np.int64) << 8) | rows["node"].to_numpy(np.int64)
-    np.add.at(zeros, at, rows["zeros"].to_numpy())
-    np.add.at(ones, at, rows["ones"].to_numpy())
-    np.add.at(below, at, rows["logpw"].to_numpy())
-    for d in range(CUT - 1, -1, -1):
-        own = log_kt(zeros, ones)
-        seen = zeros + ones > 0
-        w = 1 / (1 + np.exp(-np.clip(own - below, -500, 500)))
-        top.weight.insert(0, np.where(seen, w, -1.0))
-        top.one.insert(0, (ones + 0.5) / (zeros + ones + 1))
-        logpw = np.where(seen, np.logaddexp(own, below) - LN2, 0.0)
-        if d:
-            # context of d - 1 bytes: the last ones, which are the low bits
-            shape = (256, -1)
-            zeros, ones, below = (x.reshape(shape).sum(0) if d > 1 else x.reshape(-1, 256).sum(0) for x in (zeros, ones, logpw))
-    return top
+class Top:
+    """Depths 1 and 0 from the sums (context, node, zeros, ones, logpw) of depth 1's children; 65,536 entries at most."""
 
+    def __init__(self, rows: pd.DataFrame):
+        at = (rows["context"].to_numpy(np.int64) << 8) | rows["node"].to_numpy(np.int64)
+        zeros, ones, below = (np.bincount(at, rows[x].to_numpy(np.float64), 1 << 16) for x in ("zeros", "ones", "logpw"))
+        one = Weights(zeros, ones, below)
+        root = Weights(*(x.reshape(256, 256).sum(0) for x in (zeros, ones, one.logpw)))
+        state = root.down(*(np.full(256, x) for x in ABOVE))
+        self.state = one.down(*(np.tile(x, 256) for x in state))
 
-def _by_subtree(work):
-    """Sorted batches (key, n, m) to work() of whole subtrees, some ten thousand events at a time."""
+    def to(self, context: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(a, b, f) for entries whose parents are contexts of one byte."""
+        at = context.astype(np.int64) << 8 | node.astype(np.int64)
+        return tuple(x[at] for x in self.state)
+
+
+def _whole_groups(work: Callable[[pd.DataFrame], pd.DataFrame]):
+    """Sorted batches to work() of whole groups (column g), some ten thousand rows at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
+        size = 0
         for b in batches:
             kept.append(b)
-            if sum(map(len, kept)) >= 50_000:
+            size += len(b)
+            if size >= 50_000 and len(b) and kept[0]["g"].iloc[0] != b["g"].iloc[-1]:
                 whole = pd.concat(kept, ignore_index=True)
                 g = whole["g"].to_numpy()
                 end = int(np.searchsorted(g, g[-1]))
-                if end:
-                    yield work(whole.iloc[:end])
-                kept = [whole.iloc[end:]]
-        if kept and sum(map(len, kept)):
+                yield work(whole.iloc[:end])
+                kept, size = [whole.iloc[end:]], len(whole) - end
+        if size:
             yield work(pd.concat(kept, ignore_index=True))
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(held_out, text) to partial counts (token, c in training texts, occurrences)."""
-    train, held = Counter(), Counter()
+    train, held, size = Counter(), Counter(), 0
 
     def rows():
         tokens = list(train.keys() | held.keys())
@@ -182,107 +195,193 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             into = held if out else train
-            into.update((text or b"").lower().split())
+            words = (text or b"").lower().split()
+            before = len(into)
+            into.update(words)
             into[b""] += 1
-            if len(train) + len(held) > FLUSH:
+            size += (len(into) - before) * (40 + len(text or b"") // (len(words) + 1))
+            if size > FLUSH_TOKENS:
                 yield from rows()
+                size = 0
     yield from rows()
 
 
-def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, c, total) to partial counts of events (key, n in training texts, m in distinct tokens)."""
+def _count_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(held_out, text) to partial counts (key, n in training texts, m in all)."""
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _, _ in kept)])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        sums = [np.add.reduceat(np.concatenate([x[i] for x in kept])[order], starts) if len(starts) else np.zeros(0, np.int64) for i in (1, 2)]
+        return keys[starts], *sums
+
+    def rows(found):
+        for a in range(0, len(found[0]), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(found[0][a : a + 200_000].view(np.int64)), *(pa.array(x[a : a + 200_000]) for x in found[1:])], ["key", "n", "m"])
+
+    size = 0
+    for texts, outs in _pieces(batches):
+        for held in (False, True):
+            some = [t for t, out in zip(texts, outs) if bool(out) == held]
+            if some:
+                keys, times = _runs(events(some))
+                kept.append((keys, np.zeros_like(times) if held else times, times))
+                size += len(keys)
+        if size > FLUSH_EVENTS:
+            kept = [merged()]
+            size = len(kept[0][0])
+            if size > FLUSH_EVENTS // 2:
+                yield from rows(kept[0])
+                kept, size = [], 0
+    yield from rows(merged())
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list]]:
+    """Spelled texts and their marks of (held_out, text), some megabytes at a time."""
+    texts, outs, size = [], [], 0
     for b in batches:
-        tokens, c = b.column(0).to_pylist(), b.column(1).to_numpy()
-        key, lengths = spell(tokens)
-        keys, where = np.unique(key, return_inverse=True)
-        n = np.bincount(where, np.repeat(c, lengths).astype(np.float64), len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(np.bincount(where, minlength=len(keys)))], ["key", "n", "m"])
-
-
-class Scores:
-    """log10 probabilities of frequent events, to score tokens where they are."""
-
-    def __init__(self, key: np.ndarray, value: np.ndarray):
-        order = np.argsort(key)
-        self.key, self.value = key[order], value[order]
-
-    def of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sum of the known events of each token, the unknown events and the tokens (positions) they belong to."""
-        key, lengths = spell(tokens)
-        owner = np.repeat(np.arange(len(tokens)), lengths)
-        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
-        known = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
-        value = np.where(known, self.value[at] if len(self.key) else 0.0, 0.0)
-        return np.bincount(owner, value, len(tokens)), key[~known], owner[~known]
-
-
-def vocabulary(docs: DataFrame, held_out: str, text: str) -> DataFrame:
-    """(token, c, total, id): training count and count of every token of the texts (binary; empty: the end mark); id is distinct in one run only, so the rows are to be written before it is used."""
-    given = docs.select(F.col(held_out), F.col(text).cast("binary"))
-    return given.mapInArrow(_count, "token binary, c long, total long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("total").alias("total")).withColumn("id", F.monotonically_increasing_id())
-
+        for out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            texts.append(spelled(text))
+            outs.append(out)
+            size += len(texts[-1])
+            if size > TOGETHER:
+                yield texts, outs
+                texts, outs, size = [], [], 0
+    if texts:
+        yield texts, outs
 
-def scored_vocabulary(vocab: DataFrame) -> DataFrame:
-    """(token, c, total, ll): the tokens' log10 probabilities under the tree of the training tokens."""
-    events = vocab.select("token", "c").mapInArrow(_events, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    events = Cut(events.withColumn("g", F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * CUT) - 1))))
-    grouped = events.df.repartition("g").sortWithinPartitions("g")
-    summaries = grouped.mapInPandas(_by_subtree(lambda e: Subtree(e["key"].to_numpy(), e["n"].to_numpy()).summary()), "context long, node long, zeros double, ones double, logpw double")
-    sums = summaries.groupBy("context", "node").agg(*[F.sum(x).alias(x) for x in ("zeros", "ones", "logpw")])
-    top = complete(pd.DataFrame([tuple(r) for r in sums.collect()], columns=["context", "node", "zeros", "ones", "logpw"]).sort_values(["context", "node"]))  # 255 * 256 rows at most
 
-    def score(e: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": e["key"], "m": e["m"], "lp": Subtree(e["key"].to_numpy(), e["n"].to_numpy()).log10(top)})
+def vocabulary(given: DataFrame) -> DataFrame:
+    """(token, c, total) of (held_out, text as binary): training count and count of every token; the empty one is the end mark."""
+    return given.mapInArrow(_count_tokens, "token binary, c long, total long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
-    lp = Cut(grouped.mapInPandas(_by_subtree(score), "key long, m long, lp double"))
-    total = lp.df.agg(F.sum("m")).first()[0] or 0
-    often = lp.df.where(F.col("m") * HOT >= total).select("key", "lp").collect()  # HOT rows at most
-    frequent = Scores(np.array([r["key"] for r in often], np.int64), np.array([r["lp"] for r in often]))
 
-    def known(batches):
-        for b in batches:
-            ll, _, _ = frequent.of(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ll)], ["token", "c", "total", "id", "ll"])
+def tree(given: DataFrame, cut_at: int | None = None, group: int = GROUP) -> DataFrame:
+    """(key, m, lp): the log10 probability and number of every event of (held_out, text as binary), under the training texts' tree.
 
-    def unknown(batches):
+    cut_at: where the tree is cut, from 2 to DEPTH - 1; by default as deep as makes subtrees of ``group`` events at most.
+    """
+    counts = cut(given.mapInArrow(_count_events, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    last = lambda c: F.shiftrightunsigned("key", 8 * (DEPTH + 1 - c))
+    if cut_at is None:
+        for cut_at in range(LEAST_CUT, DEPTH):
+            largest = counts.groupBy(last(cut_at).alias("g")).count().agg(F.max("count")).first()[0] or 0
+            if largest <= group:
+                break
+    grouped = counts.withColumn("g", last(cut_at))
+    columns = ["context", "node", "zeros", "ones", "logpw"]
+    kinds = "context long, node long, zeros double, ones double, logpw double"
+
+    def summary(e: pd.DataFrame) -> pd.DataFrame:
+        f = Forest(e["key"].to_numpy().view(np.uint64), e["n"].to_numpy(), cut_at)
+        return pd.DataFrame(dict(zip(columns, (f.context.view(np.int64), f.node, f.zeros, f.ones, f.logpw))))
+
+    # Entries by depth, from the cut up to depth 2; each is the sum of its children below.
+    entries = {cut_at: Cut(grouped.repartition("g").sortWithinPartitions("g", "key").mapInPandas(_whole_groups(summary), kinds))}
+
+    def parents(d: int) -> DataFrame:
+        by = F.shiftrightunsigned("context", 8).alias("context")
+        return entries[d + 1].df.groupBy(by, "node").agg(*(F.sum(x).alias(x) for x in columns[2:]))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            _, key, owner = frequent.of(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(owner)), pa.array(key)], ["id", "key"])
-
-    rest = vocab.select("token", "id").mapInArrow(unknown, "id long, key long").join(lp.df.select("key", "lp"), "key").groupBy("id").agg(F.sum("lp").alias("more"))
-    scored = vocab.select("token", "c", "total", "id").mapInArrow(known, "token binary, c long, total long, id long, ll double")
-    found = Cut(scored.join(rest, "id", "left").select("token", "c", "total", (F.col("ll") + F.coalesce("more", F.lit(0.0))).alias("ll")))
-    events.drop()
-    lp.drop()
-    return found.df
+            w = Weights(b["zeros"].to_numpy(), b["ones"].to_numpy(), b["logpw"].to_numpy())
+            yield b.assign(below=b["logpw"], logpw=w.logpw)
+
+    for d in range(cut_at - 1, 1, -1):
+        entries[d] = Cut(parents(d).select(columns).mapInPandas(weigh, f"{kinds}, below double"))
+    top = Top(pd.DataFrame([tuple(r) for r in parents(1).select(columns).collect()], columns=columns).sort_values(["context", "node"]))  # 65,280 rows at most
+    state = None
+    for d in range(2, cut_at):
+        own = entries[d].df
+        if state is not None:
+            own = own.withColumn("p", F.shiftrightunsigned("context", 8)).join(state.select(F.col("context").alias("p"), "node", "a", "b", "f"), ["p", "node"]).drop("p")
+
+        def settle(batches: Iterator[pd.DataFrame], given=state is not None) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                w = Weights(b["zeros"].to_numpy(), b["ones"].to_numpy(), b["below"].to_numpy())
+                above = tuple(b[x].to_numpy() for x in "abf") if given else top.to(b["context"].to_numpy() >> 8, b["node"].to_numpy())
+                yield pd.DataFrame(dict(zip(("context", "node", "a", "b", "f"), (b["context"], b["node"], *w.down(*above)))))
+
+        state = own.mapInPandas(settle, "context long, node long, a double, b double, f double")
+    # What the levels above say comes to a subtree's task as rows of their own; they sort before its events, in the order of its entries.
+    asked = entries[cut_at].df.select(F.col("context").alias("g"), "node")
+    if state is not None:
+        asked = asked.withColumn("p", F.shiftrightunsigned("g", 8)).join(state.select(F.col("context").alias("p"), "node", "a", "b", "f"), ["p", "node"]).drop("p")
+    else:
+        asked = asked.withColumns({x: F.lit(None).cast("double") for x in "abf"})
+    told = asked.select("g", (F.col("node") - 256).alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("m"), "a", "b", "f")
+    both = grouped.select("g", "key", "n", "m", *(F.lit(None).cast("double").alias(x) for x in "abf")).unionByName(told)
+    given_above = state is not None
 
-
-def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+    def score(e: pd.DataFrame) -> pd.DataFrame:
+        is_event = e["key"].to_numpy() >= 0
+        ev, up = e[is_event], e[~is_event]
+        f = Forest(ev["key"].to_numpy().view(np.uint64), ev["n"].to_numpy(np.int64), cut_at)
+        above = tuple(up[x].to_numpy() for x in "abf") if given_above else top.to(f.context.view(np.int64) >> 8, f.node)
+        return pd.DataFrame({"key": ev["key"].to_numpy(), "m": ev["m"].to_numpy(np.int64), "lp": f.log10(*above)})
+
+    return cut(both.repartition("g").sortWithinPartitions("g", "key").mapInPandas(_whole_groups(score), "key long, m long, lp double"))
+
+
+def frequent_events(scored: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and log10 probabilities of the most frequent events, ``most`` at most: all with at least so many occurrences."""
+    step = F.floor(F.log2("m") * 8).cast("int")
+    sizes = sorted(((r["s"], r["count"]) for r in scored.groupBy(step.alias("s")).count().collect()), reverse=True)  # 512 rows at most
+    total, least = 0, None
+    for s, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = s
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    rows = scored.where(step >= least).select("key", "lp").toArrow()
+    key, lp = rows["key"].to_numpy().view(np.uint64), rows["lp"].to_numpy()
+    order = np.argsort(key)
+    return key[order], lp[order]
+
+
+def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", cut_at: int | None = None, hot: int = HOT, often: int = OFTEN, group: int = GROUP) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
     The model is learned from the rows where the boolean column ``held_out`` is not true. base_score is the smoothed unigram
-    model's log10 probability, score the tree's. Null and empty texts are an end mark; repeated rows are scored each;
-    without training rows every bit is 1/2 likely; an empty table gives an empty one.
+    model's log10 probability, score the tree's, bits_per_byte its code length for each byte of the spelled text. Null and
+    empty texts are an end mark; repeated rows are scored each; without training rows every bit is 1/2 likely; an empty
+    table gives an empty one. Whole texts are read, some megabytes at a time, so a task holds the longest text of its rows
+    and about 50 bytes for each of that text's bytes.
     """
-    vocab = cut(vocabulary(docs, held_out, text))
+    given = docs.select(F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), F.col(text).cast("binary").alias("text"))
+    vocab = cut(vocabulary(given))
     totals = vocab.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum("total").alias("all")).first()
     n, v, every = totals["n"] or 0, totals["v"] or 0, totals["all"] or 0
-    scored = scored_vocabulary(vocab)
-    often = scored.where((F.col("total") * HOT >= every) & (F.octet_length("token") <= SHORT)).collect()  # HOT short rows at most
-    frequent = {bytes(r["token"]): (r["c"], math.log10((r["c"] + 1) / (n + v + 1)), r["ll"]) for r in often}
+    scored = tree(given, cut_at, group)
+    hot_key, hot_lp = frequent_events(scored, hot)
+    short = vocab.where((F.col("total") * often >= every) & (F.octet_length("token") <= SHORT)).select("token", "c").collect()  # OFTEN short rows at most
+    frequent = {bytes(r["token"]): (r["c"], math.log10((r["c"] + 1) / (n + v + 1))) for r in short}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of sums over frequent tokens for each text, and rows of its other tokens."""
-        names = ["row", "doc_id", "held_out", "token", "tf", "known", "base", "score"]
+        """A row of sums over frequent tokens and events for each text, and rows of its other tokens and events."""
+        names = ["row", "doc_id", "held_out", "bytes", "token", "key", "tf", "known", "base", "score"]
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                some = b.slice(a, 512)
-                row, ident, out, texts = (c.to_pylist() for c in some.columns)
+            sizes = np.diff(np.r_[0, np.cumsum([len(t) if t else 0 for t in b.column(3).to_pylist()])])
+            at = 0
+            while at < b.num_rows:
+                end, size = at + 1, sizes[at]
+                while end < b.num_rows and end - at < TEXTS and size + sizes[end] <= TOGETHER:
+                    size += sizes[end]
+                    end += 1
+                some = b.slice(at, end - at)
+                at = end
+                row, ident, out, texts = some.column(0).to_pylist(), some.column(1), some.column(2), some.column(3).to_pylist()
                 rare_row, rare, rare_tf, sums = [], [], [], []
                 for r, t in zip(row, texts):
                     tf = Counter((t or b"").lower().split())
                     tf[b""] = 1
-                    tokens = known = base = score = 0
+                    tokens = known = base = 0
                     for w, k in tf.items():
                         if (x := frequent.get(w)) is None:
                             rare_row.append(r)
@@ -292,31 +391,46 @@ def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: st
                             tokens += k
                             known += k if x[0] else 0
                             base += k * x[1]
-                            score += k * x[2]
-                    sums.append((tokens, known, float(base), float(score)))
-                m, cols = len(rare), list(zip(*sums))
+                    sums.append((tokens, known, float(base)))
+                # Keys take 56 bits; the text's place among TEXTS rides below, so that plain values are sorted.
+                bodies = [spelled(t) for t in texts]
+                lengths = np.array([len(t) for t in bodies])
+                mine = events(bodies) << np.uint64(8) | np.repeat(np.arange(len(bodies)), lengths).astype(np.uint64)
+                pairs, times = _runs(mine)
+                key, owner = pairs >> np.uint64(8), (pairs & np.uint64(255)).astype(np.int64)
+                place = np.minimum(np.searchsorted(hot_key, key), max(len(hot_key) - 1, 0))
+                hit = hot_key[place] == key if len(hot_key) else np.zeros(len(key), bool)
+                score = np.bincount(owner[hit], times[hit] * hot_lp[place[hit]], len(bodies)) if len(hot_key) else np.zeros(len(bodies))
+                left_row, left_key, left_tf = np.array(row, np.int64)[owner[~hit]], key[~hit].view(np.int64), times[~hit]
+                m, k, cols = len(rare), len(left_key), list(zip(*sums))
+                blank = lambda x, kind: pa.concat_arrays([x, pa.nulls(m + k, kind)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row + rare_row, pa.int64()),
-                        pa.concat_arrays([some.column(1), pa.nulls(m, some.column(1).type)]),
-                        pa.array(out + [None] * m, pa.bool_()),
-                        pa.array([None] * len(row) + rare, pa.binary()),
-                        pa.array([*cols[0], *rare_tf], pa.int64()),
-                        pa.array([*cols[1], *([0] * m)], pa.int64()),
-                        pa.array([*cols[2], *([0.0] * m)], pa.float64()),
-                        pa.array([*cols[3], *([0.0] * m)], pa.float64()),
+                        pa.concat_arrays([pa.array(row, pa.int64()), pa.array(rare_row, pa.int64()), pa.array(left_row)]),
+                        blank(ident, ident.type),
+                        blank(out, pa.bool_()),
+                        blank(pa.array(lengths), pa.int64()),
+                        pa.array([None] * len(row) + rare + [None] * k, pa.binary()),
+                        pa.concat_arrays([pa.nulls(len(row) + m, pa.int64()), pa.array(left_key)]),
+                        pa.concat_arrays([pa.array(cols[0], pa.int64()), pa.array(rare_tf, pa.int64()), pa.array(left_tf)]),
+                        blank(pa.array(cols[1], pa.int64()), pa.int64()),
+                        blank(pa.array(cols[2], pa.float64()), pa.float64()),
+                        blank(pa.array(score), pa.float64()),
                     ],
                     names,
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), F.col(text).cast("binary").alias("text"))
-    parts = cut(given.mapInArrow(split, f"row long, doc_id {kind}, held_out boolean, token binary, tf long, known long, base double, score double"))
-    rare = parts.where("token is not null").select("row", "token", "tf").join(scored.select("token", "c", "ll"), "token")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), F.col(text).cast("binary").alias("text"))
+    parts = cut(texts.mapInArrow(split, f"row long, doc_id {kind}, held_out boolean, bytes long, token binary, key long, tf long, known long, base double, score double"))
     chance = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
-    columns = ["row", "doc_id", "held_out", "tf", "known", "base", "score"]
-    rare = rare.select("row", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "tf", F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known"), (F.col("tf") * chance).alias("base"), (F.col("tf") * F.col("ll")).alias("score"))
-    total = parts.where("token is null").select(columns).unionByName(rare).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tf").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")
+    none = lambda of, name: F.lit(None).cast(of).alias(name)
+    same = ["row", none(kind, "doc_id"), none("boolean", "held_out"), none("long", "bytes")]
+    rare = parts.where("token is not null").select("row", "token", "tf").join(vocab.select("token", "c"), "token")
+    rare = rare.select(*same, "tf", F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known"), (F.col("tf") * chance).alias("base"), F.lit(0.0).alias("score"))
+    left = parts.where("key is not null").select("row", "key", "tf").join(scored.select("key", "lp"), "key")
+    left = left.select(*same, F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("tf") * F.col("lp")).alias("score"))
+    total = parts.where("token is null and key is null").drop("token", "key").unionByName(rare).unionByName(left).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("bytes").alias("bytes"), *(F.sum(x).alias(x) for x in ("tf", "known", "base", "score"))
     )
-    return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return total.select("doc_id", "held_out", F.col("tf").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))

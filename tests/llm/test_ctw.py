@@ -14,24 +14,23 @@ def kt(a, b):
     return p
 
 
-def brute(train, tokens):
-    """log10 probability of each token from the textbook recursion, in plain floats."""
-    pad = [ctw.SPACE] * ctw.DEPTH
+def brute(train, texts):
+    """log10 probability of each text from the textbook recursion, in plain floats."""
     counts = defaultdict(lambda: [0, 0])
     children = defaultdict(set)
 
-    def decisions(token):
-        s = pad + list(token) + [ctw.SPACE] if token else pad + [ctw.END]
+    def decisions(text):
+        s = [10] * ctw.DEPTH + list(b" ".join((text or "").encode().lower().split())) + [10]
         for i in range(ctw.DEPTH, len(s)):
             past = tuple(s[i - ctw.DEPTH : i])
             for level in range(8):
                 yield past, (1 << level) | (s[i] >> (8 - level)), s[i] >> (7 - level) & 1
 
-    for token, n in train.items():
-        for past, node, bit in decisions(token):
+    for text in train:
+        for past, node, bit in decisions(text):
             for d in range(ctw.DEPTH + 1):
                 c = past[ctw.DEPTH - d :]
-                counts[c, node][bit] += n
+                counts[c, node][bit] += 1
                 if d:
                     children[c[1:], node].add(c)
 
@@ -39,8 +38,7 @@ def brute(train, tokens):
         own = kt(*counts[c, node])
         if len(c) == ctw.DEPTH:
             return own
-        below = math.prod(weighted(x, node) for x in children[c, node])
-        return (own + below) / 2
+        return (own + math.prod(weighted(x, node) for x in children[c, node])) / 2
 
     def chance(past, node, bit):
         p = None
@@ -58,31 +56,36 @@ def brute(train, tokens):
                 p = w * own + (1 - w) * p
         return 0.5 if p is None else p
 
-    return {t: sum(math.log10(chance(*x)) for x in decisions(t)) for t in tokens}
+    return [sum(math.log10(chance(*x)) for x in decisions(t)) for t in texts]
 
 
-def test_probabilities_match_the_recursion():
-    train = Counter({b"abab": 3, b"abc": 2, b"b": 4, b"": 5, b"abcabcabc": 1})
-    tokens = [b"", b"ab", b"abc", b"abab", b"zzz", b"b", b"\xc3\xa9", b"abcabcabx"]
-    every = list(dict.fromkeys([*train, *tokens]))
-    key, lengths = ctw.spell(every)
-    weights = np.repeat([train.get(t, 0) for t in every], lengths)
-    keys, where = np.unique(key, return_inverse=True)
-    tree = ctw.Subtree(keys, np.bincount(where, weights, len(keys)))
-    value = tree.log10(ctw.complete(tree.summary()))[where]
-    got = dict(zip(every, np.add.reduceat(value, np.r_[0, np.cumsum(lengths)[:-1]])))
-    want = brute(train, tokens)
-    assert all(got[t] == pytest.approx(want[t], rel=1e-9) for t in tokens)
+TRAIN = ["abab ba", "abc ab abc", "b", None, "Abcabcabc  b\nab", "la le la"]
+OTHER = ["", "ab abc", "zzz b", "é ab", "abcabcabx", "ba abab", "abab ba"]
 
 
-def test_next_bytes_are_a_distribution():
-    train = [b"hello", b"help", b"yes", b""]
-    key, lengths = ctw.spell(train)
-    next_bytes = np.arange(256) | int.from_bytes(b"  hel", "big") << 8
-    keys, where = np.unique(np.r_[key, next_bytes], return_inverse=True)
-    tree = ctw.Subtree(keys, np.bincount(where, np.r_[np.ones(len(key)), np.zeros(256)], len(keys)))
-    p = 10 ** tree.log10(ctw.complete(tree.summary()))
-    assert p[where[len(key) :]].sum() == pytest.approx(1) and p[where[len(key) + ord("p")]] > 10 / 256
+@pytest.mark.parametrize("cut_at", [2, 3, 4, 5])
+def test_scores_match_the_recursion(docs_of, cut_at):
+    rows = list(enumerate(TRAIN + OTHER))
+    docs = docs_of(rows).selectExpr("*", f"doc_id >= {len(TRAIN)} as held_out")
+    got = {r["doc_id"]: r for r in ctw.score_texts(docs, "held_out", cut_at=cut_at, hot=[0, 5, 100, ctw.HOT][cut_at - 2]).collect()}
+    for (d, t), want in zip(rows, brute(TRAIN, TRAIN + OTHER)):
+        assert got[d]["score"] == pytest.approx(want, rel=1e-9), t
+        size = len(ctw.spelled((t or "").encode()))
+        assert got[d]["bits_per_byte"] == pytest.approx(-want * math.log2(10) / size)
+    assert got[len(rows) - 2]["score"] != pytest.approx(got[len(rows) - 1]["score"], rel=1e-6)  # word order counts
+
+
+def test_keys_and_next_bytes():
+    texts = [ctw.spelled(b"hello  Help"), ctw.spelled(None)]
+    keys = ctw.events(texts)
+    assert texts == [b"hello help\n", b"\n"] and len(keys) == 12
+    s = b"\n" * ctw.DEPTH + texts[0]
+    assert int(keys[8]) == int.from_bytes(s[8 : 8 + ctw.DEPTH][::-1] + s[8 + ctw.DEPTH : 9 + ctw.DEPTH], "big")
+    next_bytes = (keys[8] & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
+    ids, where = np.unique(np.r_[keys, next_bytes], return_inverse=True)
+    f = ctw.Forest(ids, np.bincount(where[:12], minlength=len(ids)), 1)
+    p = 10 ** f.log10(*(np.array([x] * len(f.node)) for x in ctw.ABOVE))
+    assert p[where[12:]].sum() == pytest.approx(1)
 
 
 def test_log_gamma():
@@ -90,31 +93,29 @@ def test_log_gamma():
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-10)
 
 
-@pytest.mark.parametrize("hot", [1, 65536])
-def test_texts(spark, docs_of, prose, monkeypatch, hot):
-    monkeypatch.setattr(ctw, "HOT", hot)
-    rows = [(i, prose(12, i)) for i in range(30)] + [(50, None), (51, ""), (52, "Unseen WORDS"), (52, "Unseen WORDS"), (53, "x" * 50_000)]
+def test_base_counts_and_small_groups(docs_of, prose, monkeypatch):
+    monkeypatch.setattr(ctw, "FLUSH_EVENTS", 500)
+    monkeypatch.setattr(ctw, "FLUSH_TOKENS", 2000)
+    monkeypatch.setattr(ctw, "TOGETHER", 700)
+    rows = [(i, prose(12, i)) for i in range(30)] + [(50, None), (51, ""), (52, "Unseen WORDS"), (52, "Unseen WORDS"), (53, "x" * 50_000), (None, "null id")]
     docs = docs_of(rows).selectExpr("*", "doc_id % 7 = 2 or doc_id = 52 as held_out")
-    got = ctw.score_texts(docs, "held_out").collect()
+    got = ctw.score_texts(docs, "held_out", often=4, hot=50, group=20).collect()
+    whole = ctw.score_texts(docs, "held_out").collect()
     words = lambda t: [*(t or "").encode().lower().split(), b""]
-    out = lambda d: d % 7 == 2 or d == 52
+    out = lambda d: d is not None and (d % 7 == 2 or d == 52)
     train = Counter(w for d, t in rows if not out(d) for w in words(t))
     n, v = sum(train.values()), len(train)
-    key, lengths = ctw.spell(every := list({w for _, t in rows for w in words(t)}))
-    keys, where = np.unique(key, return_inverse=True)
-    tree = ctw.Subtree(keys, np.bincount(where, np.repeat([train.get(w, 0) for w in every], lengths), len(keys)))
-    ll = dict(zip(every, np.add.reduceat(tree.log10(ctw.complete(tree.summary()))[where], np.r_[0, np.cumsum(lengths)[:-1]])))
-    assert len(got) == len(rows)
-    by = {r["doc_id"]: r for r in got}
+    assert len(got) == len(whole) == len(rows)
+    by, other = {r["doc_id"]: r for r in got}, {r["doc_id"]: r for r in whole}
     for d, t in rows:
         w, r = words(t), by[d]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out(d), len(w), sum(x in train for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w))
-        assert r["score"] == pytest.approx(sum(ll[x] for x in w))
+        assert r["score"] == pytest.approx(other[d]["score"], rel=1e-9)
 
 
 def test_no_rows_and_no_training_rows(docs_of):
     empty = docs_of([]).selectExpr("*", "false as held_out")
     assert ctw.score_texts(empty, "held_out").count() == 0
     r = ctw.score_texts(docs_of([(1, "ab")]).selectExpr("*", "true as held_out"), "held_out").first()
-    assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (2, 0, 0) and r["score"] == pytest.approx(-32 * math.log10(2))
+    assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (2, 0, 0) and r["score"] == pytest.approx(-24 * math.log10(2))
