@@ -5,7 +5,8 @@ programming over that automaton repairs the roles at the least cost: a turn may
 another role, or follow inserted empty turns. The repaired turns are rendered with role marks.
 
 Costs of a block of turns are a matrix over the automaton's states, and blocks combine by (min, +) products, so a
-conversation of any length is repaired in blocks of BLOCK turn numbers, by many tasks, with the same result.
+conversation of any length is repaired in blocks of so many turns, by many tasks, with the same result. A turn's place
+in its conversation is counted over ranges of all turns, so no task gathers a conversation to number it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from commweave.functions.order import running_before
 from commweave.llm.common import cut
 
 ROLES = ("system", "user", "assistant")
@@ -28,6 +30,7 @@ LEGAL = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 ACCEPTING = (2, 3)
 MERGE, INSERT, RELABEL = 1, 2, 3
 NEVER = 1 << 40
+#: Turns of a block; a conversation of up to so many turns is one row.
 BLOCK = 1024
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -142,30 +145,41 @@ def render(turns: list[tuple[int, str | None]], a: int, b: int, first: bool, las
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Whole groups of sorted batches; a null key is a group like any other."""
     kept: list[pd.DataFrame] = []
+    last = None
     for b in batches:
-        whole = pd.concat([*kept, b], ignore_index=True) if kept else b.reset_index(drop=True)
-        if not len(whole):
+        if not len(b):
             continue
-        differs = (whole[keys].astype(object).where(whole[keys].notna(), "\0") != whole[keys].astype(object).where(whole[keys].notna(), "\0").shift()).any(axis=1)
-        starts = differs.to_numpy().nonzero()[0].tolist()
-        for x, y in zip(starts, starts[1:]):
-            yield whole.iloc[x:y]
-        kept = [whole.iloc[starts[-1] :]]
-    if kept and len(kept[0]):
-        yield kept[0]
-
-
-def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, segment, n_turns, n_messages, cost, ops, rendered): one row for each conversation and block of BLOCK turn numbers.
-
-    Turns go by number, then role and text; null numbers come last. Null and unknown roles are of no role, null texts
-    are empty, repeated turns are turns of their own, null ids are one conversation. cost is the whole conversation's.
-    Marks within texts are escaped. An empty table gives an empty one.
+        b = b.reset_index(drop=True)
+        marks = list(zip(*(b[k].astype(object).where(b[k].notna(), None) for k in keys)))
+        starts = [i for i in range(1, len(marks)) if marks[i] != marks[i - 1]]
+        if kept and marks[0] != last:
+            yield pd.concat(kept, ignore_index=True)
+            kept = []
+        for x, y in zip([0, *starts], [*starts, len(b)]):
+            if x and kept:
+                yield pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]
+                kept = []
+            kept.append(b.iloc[x:y])
+        last = marks[-1]
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(conv_id, segment, n_turns, n_messages, cost, ops, rendered): one row for each conversation of up to ``block`` turns.
+
+    Longer ones have a row for each ``block`` turns, in the order of segment, whose renderings, joined, are the
+    conversation's. Turns go by number, then role and a hash of the text; null numbers come last. Null and unknown roles are of no
+    role, null texts are empty, repeated turns are turns of their own, null ids are one conversation. cost is the whole
+    conversation's. Marks within texts are escaped. Very long texts are kept whole. An empty table gives an empty one.
     """
     kind = turns.schema[conv].dataType.simpleString()
-    block = F.coalesce(F.floor(F.col(turn) / BLOCK).cast("long"), F.lit((1 << 62)))
-    given = turns.select(F.col(conv).alias("conv_id"), block.alias("block"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    by_block = given.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.col("turn").asc_nulls_last(), "role", "text")
+    given = turns.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.left("role", F.lit(32)).asc_nulls_first(), F.xxhash64("role", "text")]
+    placed = running_before(given, order, name="place")
+    firsts = placed.groupBy(F.col("conv_id").alias("_c")).agg(F.min("place").alias("first"))
+    given = placed.join(firsts, F.col("conv_id").eqNullSafe(F.col("_c"))).withColumn("block", F.floor((F.col("place") - F.col("first")) / block)).drop("_c", "first")
+    by_block = given.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place")
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
@@ -177,7 +191,7 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
                 out = []
         yield pd.DataFrame(out, columns=["conv_id", "block", "m"])
 
-    blocks = by_block.select("conv_id", "block", "turn", "role", "text").mapInPandas(weigh, f"conv_id {kind}, block long, m array<long>")
+    blocks = by_block.select("conv_id", "block", "role").mapInPandas(weigh, f"conv_id {kind}, block long, m array<long>")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
@@ -195,7 +209,7 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     ways = cut(blocks.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInPandas(settle, f"conv_id {kind}, block long, segment int, a int, b int, last boolean, cost long"))
     ways = ways.withColumnsRenamed({"conv_id": "_c", "block": "_b"})
     known = given.join(ways, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))).drop("_c", "_b")
-    known = known.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.col("turn").asc_nulls_last(), "role", "text")
+    known = known.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns, out = ["conv_id", "segment", "n_turns", "n_messages", "cost", "ops", "rendered"], []

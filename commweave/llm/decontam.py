@@ -75,54 +75,71 @@ def _changes() -> list[int]:
     return [sum(1 << b for b in c) for n in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), n)]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, similarity, start) of the best window of every contaminated document and item.
+def _key(doc_id: str, text: str) -> tuple[Column, Column]:
+    """128 bits of id and text name a row, so that null and repeated ids are told apart and rows alike in both are one."""
+    i, t = F.col(doc_id).cast("string"), F.col(text)
+    return F.xxhash64(i.isNull(), i, t.isNull(), t), F.xxhash64(t, t.isNull(), i, i.isNull(), F.lit(1))
 
-    start: 0-based shingle at which the window starts. Documents shorter than an item are one window. Items and
-    documents without words match nothing. Repeated rows are told apart by nothing but their id and give one row; a
-    null doc_id gives rows like any other. Empty tables give an empty one.
-    """
-    items = cut(benchmark.select(F.col(item_id).alias("item_id"), shingles_of(words_of(F.col(item_text))).alias("item")).where(F.size("item") > 0).distinct())
-    listed = items.select("item_id", F.size("item").alias("m"), F.explode(F.array_distinct("item")).alias("h"))
+
+def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, broadcast_shingles: int, broadcast_starts: int) -> DataFrame:
+    """(a, b, doc_id, item_id, similarity, start), a and b naming the row."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), shingles_of(words_of(F.col(item_text))).alias("item")).where(F.size("item") > 0)
+    items = cut(items.select(F.xxhash64("item_id", "item").alias("no"), "item_id", "item").distinct())
     # A shingle of many items would repeat a document's position for each; hits meet items by size, and their item only when counted.
-    shared = cut(listed)
-    small = shared.count() <= BROADCAST_SHINGLES
-    given = docs.select(F.col(doc_id).alias("doc_id"), shingles_of(words_of(F.col(text))).alias("hashes"))
+    shared = cut(items.select("no", F.size("item").alias("m"), F.explode(F.array_distinct("item")).alias("h")))
+    small = shared.count() <= broadcast_shingles  # of 20 bytes
+    a, b = _key(doc_id, text)
+    given = docs.select(a.alias("a"), b.alias("b"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = shared.select("h").distinct()
-    spots = given.select("doc_id", F.size("hashes").alias("length"), F.posexplode("hashes").alias("pos", "h"))
-    spots = cut(spots.join(F.broadcast(known) if small else known, "h", "left_semi"))
+    hashed = given.select("a", "b", shingles_of(words_of(F.col("text"))).alias("hashes"))
+    spots = hashed.select("a", "b", F.size("hashes").alias("length"), F.posexplode("hashes").alias("pos", "h"))
+    spots = cut(spots.join(F.broadcast(known) if small else known, "h", "left_semi").distinct())
     need = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.least("length", "m") + F.col("m")) - F.lit(1e-9))
     hits = spots.join(F.broadcast(shared) if small else shared, "h").withColumn("need", need.cast("int"))
     # Enough shared shingles from here on: the hit that makes the count up is at most m - 1 behind the first.
-    span = Window.partitionBy("doc_id", "item_id").orderBy("pos")
+    span = Window.partitionBy("a", "b", "no").orderBy("pos")
     numbered = hits.withColumn("n", F.row_number().over(span))
-    last = numbered.select("doc_id", "item_id", (F.col("n") - F.col("need") + 1).alias("n"), F.col("pos").alias("reach"))
-    reached = numbered.join(last, ["doc_id", "item_id", "n"]).where(F.col("reach") - F.col("pos") < F.col("m"))
-    starts = cut(reached.select("doc_id", "m", F.greatest(F.least("pos", F.col("length") - F.col("m")), F.lit(0)).alias("start")).distinct())
-    if starts.isEmpty():
-        kind = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], f"doc_id {kind[0]}, item_id {kind[1]}, similarity double, start int")
+    last = numbered.select("a", "b", "no", (F.col("n") - F.col("need") + 1).alias("n"), F.col("pos").alias("reach"))
+    reached = numbered.join(last, ["a", "b", "no", "n"]).where(F.col("reach") - F.col("pos") < F.col("m"))
+    starts = cut(reached.select("a", "b", "m", F.greatest(F.least("pos", F.col("length") - F.col("m")), F.lit(0)).alias("start")).distinct())
     # Windows are cut out of the few documents that have starts; only their texts are split and hashed again.
-    chosen = starts.groupBy("doc_id").agg(F.collect_set(F.struct("m", "start")).alias("starts"))
-    few = starts.count() <= BROADCAST_STARTS
-    again = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(F.broadcast(chosen) if few else chosen, "doc_id")
-    windows = again.select("doc_id", shingles_of(words_of(F.col("_text"))).alias("hashes"), "starts").select("doc_id", "hashes", F.explode("starts").alias("s")).select("doc_id", "s.m", "s.start", F.slice("hashes", F.col("s.start") + 1, F.col("s.m")).alias("window"))
-    windows = windows.withColumn("fp", simhash(F.col("window")))
+    chosen = starts.groupBy("a", "b").agg(F.collect_set(F.struct("m", "start")).alias("starts"))
+    few = starts.count() <= broadcast_starts  # of 24 bytes
+    again = given.join(F.broadcast(chosen) if few else chosen, ["a", "b"]).dropDuplicates(["a", "b"])
+    windows = again.select("a", "b", "doc_id", shingles_of(words_of(F.col("text"))).alias("hashes"), "starts").select("a", "b", "doc_id", "hashes", F.explode("starts").alias("s"))
+    windows = windows.select("a", "b", "doc_id", "s.m", "s.start", F.slice("hashes", F.col("s.start") + 1, F.col("s.m")).alias("window"))
+    windows = cut(windows.withColumn("fp", simhash(F.col("window"))))
     width = BITS // BLOCKS
     changed = F.explode(F.array(*[F.lit(c) for c in _changes()]))
-    index = items.select("item_id", "item", F.size("item").alias("m"), simhash(F.col("item")).alias("item_fp"))
-    index = index.select("*", F.explode(_blocks(F.col("item_fp"))).alias("b")).select("*", changed.alias("change")).select("item_id", "item", "m", "item_fp", "b.block", F.col("b.value").bitwiseXOR(F.col("change")).alias("value"))
-    probes = windows.select("*", F.explode(_blocks(F.col("fp"))).alias("b")).select("doc_id", "m", "start", "window", "fp", "b.block", "b.value")
+    # Index and probes hold numbers only; windows and items join the candidates.
+    index = items.select("no", F.size("item").alias("m"), simhash(F.col("item")).alias("item_fp"))
+    index = index.select("*", F.explode(_blocks(F.col("item_fp"))).alias("of")).select("*", changed.alias("change")).select("no", "m", "item_fp", "of.block", F.col("of.value").bitwiseXOR(F.col("change")).alias("value"))
+    probes = windows.select("a", "b", "m", "start", "fp", F.explode(_blocks(F.col("fp"))).alias("of")).select("a", "b", "m", "start", "fp", "of.block", "of.value")
     near = probes.join(index, ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     # A pair found in several blocks counts in its first.
     first = F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.when(F.bit_count(F.call_function("shiftrightunsigned", F.col("fp").bitwiseXOR(F.col("item_fp")), i * width).bitwiseAND(F.lit((1 << width) - 1))) <= RADIUS // BLOCKS, i)), lambda i: i.isNotNull()))
-    pairs = near.where(F.col("block") == first).withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item")))
+    pairs = near.where(F.col("block") == first).select("a", "b", "m", "start", "no")
+    pairs = pairs.join(windows.drop("fp"), ["a", "b", "m", "start"]).join(items, "no").withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item")))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"))).alias("best")
-    found = pairs.where(F.col("similarity") >= SIMILARITY - 1e-9).groupBy("doc_id", "item_id").agg(best)
-    return found.select("doc_id", "item_id", "best.similarity", (-F.col("best.before")).alias("start"))
+    found = pairs.where(F.col("similarity") >= SIMILARITY - 1e-9).groupBy("a", "b", "no").agg(F.max("doc_id").alias("doc_id"), F.max("item_id").alias("item_id"), best)
+    return found.select("a", "b", "doc_id", "item_id", "best.similarity", (-F.col("best.before")).alias("start"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_shingles: int = BROADCAST_SHINGLES, broadcast_starts: int = BROADCAST_STARTS) -> DataFrame:
+    """(doc_id, item_id, similarity, start) of the best window of every contaminated document and item.
+
+    start: 0-based shingle at which the window starts; of equally similar windows the first. Documents shorter than an
+    item are one window. An item of fewer than five words is one shingle, which only a document of just these words
+    has. Items and documents without words match nothing. Rows alike in id and text give one row; rows of one id with
+    different texts give one each; null ids, of documents or items, are ids like any other. Very long texts are read
+    whole. Empty tables give an empty one.
+    """
+    return _found(docs, benchmark, doc_id, text, item_id, item_text, broadcast_shingles, broadcast_starts).drop("a", "b")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak, all columns kept; a document with a null id stays."""
-    named = cut(leaks(docs, benchmark).select("doc_id").distinct())
-    return docs.join(named, "doc_id", "left_anti").select(docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows without a leak, all columns kept; rows with a null id go by their text like any other."""
+    named = cut(_found(docs, benchmark, doc_id, text, "item_id", "text", BROADCAST_SHINGLES, BROADCAST_STARTS).select("a", "b").distinct())
+    a, b = _key(doc_id, text)
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), a.alias("_a"), b.alias("_b"))
+    return held.join(named, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left_anti").select("_doc.*")

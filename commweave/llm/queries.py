@@ -63,10 +63,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    sized = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    text = F.col("text")
+    sized = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(text).alias("size"), F.sha2(text.cast("binary"), 256).alias("alike")))
     sizes = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     targets = source_targets(sizes)
-    mixed = mix(sized, F.col("doc_id"), F.array("source"), F.col("size"), targets)
+    mixed = mix(sized, F.col("doc_id"), F.col("source"), F.col("size"), F.col("alike"), targets)
     of = T.StructType([T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     known = spark.createDataFrame([(s, n, targets[s]) for s, n in sizes.items()], of)
     return mixed.join(known, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_repeats")).alias("taken"), F.col("_repeats").alias("repeats"))

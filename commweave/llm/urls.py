@@ -49,11 +49,38 @@ def normal_form(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, page)
 
 
+def _folded(path: Column) -> Column:
+    """A path without its segments ``.`` and ``..``."""
+
+    def step(a: Column, segment: Column) -> Column:
+        return F.when(segment == ".", a).when(segment == "..", F.regexp_replace(a, r"/[^/]*$", "")).otherwise(F.concat(a, F.lit("/"), segment))
+
+    # A path that ends in such a segment names a folder.
+    whole = F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"(^|/)(\.\.?)$", "$1$2/")
+    return F.aggregate(F.split(whole, "/"), F.lit(""), step)
+
+
+def resolve(base: Column, link: Column) -> Column:
+    """A link's absolute URL as seen on the page ``base``: absolute, protocol-relative, from the root, by query, or relative to the page's folder.
+
+    Null where either is null, where ``base`` has no ``://``, and for schemes without ``//`` such as mailto.
+    """
+    scheme, authority = F.regexp_extract(base, r"^([^:/?#]*)://", 1), F.regexp_extract(base, r"://([^/?#]*)", 1)
+    site = F.concat(scheme, F.lit("://"), authority)
+    path, link_path = path_of(base), F.regexp_extract(link, r"^([^?#]*)", 1)
+    rest = F.substr(link, F.length(link_path) + 1)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    found = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+    found = found.when(link_path == "", F.concat(site, path, F.when(link.startswith("?"), link).otherwise(F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1))))
+    found = found.when(link.startswith("/"), F.concat(site, _folded(link_path), rest)).otherwise(F.concat(site, _folded(F.concat(folder, link_path)), rest))
+    return F.when(F.instr(base, "://") > 0, found)
+
+
 def links_in(html: Column) -> Column:
-    """Absolute targets of a page's canonical link and of its refresh, an array without nulls."""
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?i)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1), r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?i)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1), r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    return F.filter(F.array(canonical, refresh), lambda u: u.isNotNull() & u.contains("://"))
+    """Targets of a page's canonical links and refreshes as written, ``&amp;`` read as &; an array without nulls."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link\b[^>]*\brel\s*=\s*[\"']?canonical\b|meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*>"), F.lit(0))
+    target = lambda t: F.regexp_extract(t, r"(?i)\b(?:href\s*=\s*|url\s*=\s*[\"']?)[\"']?([^\"'\s>]+)", 1)
+    return F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.replace(target(t), F.lit("&amp;"), F.lit("&"))), lambda u: u != "")
 
 
 def _rule(host: Column, path: Column, rules) -> Column:
@@ -68,17 +95,19 @@ def _rule(host: Column, path: Column, rules) -> Column:
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row.
 
-    redirects: optional (src, dst) URLs; canonical links and refreshes are read from the pages besides. A URL that no
-    rule fits is allowed if an alias is, else blocked if an alias is, else allowed. A null or malformed URL has empty
-    host and path and no alias. Repeated rows are judged alike; an empty table gives an empty one.
+    redirects: optional (src, dst) URLs, dst as seen from src; all canonical links and refreshes are read from the whole
+    pages besides, relative ones as seen from the page's URL. A URL that no rule fits is allowed if an alias is, else
+    blocked if an alias is, else allowed. A null or malformed URL has empty host and path and no alias. Repeated rows are
+    judged alike, of equally long rules an allowing one counts; an empty table gives an empty one.
     """
     u = F.col(url)
     told = pages.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), normal_form(u).alias("key")).withColumn("r", _rule(F.col("host"), F.col("path"), rules))
-    edges = pages.sparkSession.createDataFrame([], "src string, dst string")
+    edges = pages.sparkSession.sql("SELECT CAST(NULL AS STRING) AS src, CAST(NULL AS STRING) AS dst WHERE false")
     if html:
-        edges = edges.unionByName(pages.select(normal_form(u).alias("src"), F.explode(links_in(F.col(html))).alias("dst")).select("src", normal_form(F.col("dst")).alias("dst")))
+        told_links = pages.select(u.alias("u"), F.explode(links_in(F.col(html))).alias("link"))
+        edges = edges.unionByName(told_links.select(normal_form(F.col("u")).alias("src"), normal_form(resolve(F.col("u"), F.col("link"))).alias("dst")))
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(normal_form(F.col("src")).alias("src"), normal_form(F.col("dst")).alias("dst")))
+        edges = edges.unionByName(redirects.select(normal_form(F.col("src")).alias("src"), normal_form(resolve(F.col("src"), F.col("dst"))).alias("dst")))
     alias = connected_components(edges).withColumnRenamed("node", "key")
     at = F.coalesce("component", "key").alias("component")
     # Targets that aren't pages themselves are judged too, and so can decide for their aliases.

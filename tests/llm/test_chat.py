@@ -71,12 +71,11 @@ def test_conversations(spark):
         (7, 0, "user", "same"), (7, 0, "user", "same"),
         (8, 5, "user", "late"), (8, None, "assistant", "last"), (8, -3, "system", "first"),
     ]
-    parts = sorted(chat.repair(make(spark, rows)).collect(), key=lambda r: r["segment"])
-    # turn numbers far apart, and null ones, are blocks of their own
-    split = [r for r in parts if r["conv_id"] == 8]
-    assert len(split) == 3 and legal("".join(r["rendered"] for r in split)) == [1, 2, 3]
-    got = {r["conv_id"]: r for r in parts if r["conv_id"] != 8}
-    assert len(got) == 8 and len(parts) == 11
+    rows += [(9, 1023, "user", "q"), (9, 1024, "assistant", "a"), (10, 1_700_000_000, "user", "x" * 300_000), (10, 1_800_000_000, "assistant", "a")]
+    parts = chat.repair(make(spark, rows)).collect()
+    got = {r["conv_id"]: r for r in parts}
+    assert len(got) == 11 and len(parts) == 11
+    assert legal(got[8]["rendered"]) == [1, 2, 3] and legal(got[9]["rendered"]) == legal(got[10]["rendered"]) == [2, 3]
     assert got[1]["rendered"] == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n" and got[1]["cost"] == 0
     assert got[2]["ops"] == "keep,merge" and "one\ntwo" in got[2]["rendered"] and got[2]["cost"] == 1
     assert got[3]["ops"] == "insert:user,keep" and got[3]["n_messages"] == 2
@@ -90,11 +89,10 @@ def test_conversations(spark):
     assert chat.repair(make(spark, [])).count() == 0
 
 
-def test_blocks_give_the_whole_conversations_repair(spark, monkeypatch):
+def test_blocks_give_the_whole_conversations_repair(spark):
     r = random.Random(8)
     rows = [(c, i, r.choice(["system", "user", "assistant", "odd", None]), f"t{i}") for c in range(6) for i in range(40)]
-    monkeypatch.setattr(chat, "BLOCK", 7)
-    parts = sorted(chat.repair(make(spark, rows)).collect(), key=lambda x: (x["conv_id"], x["segment"]))
+    parts = sorted(chat.repair(make(spark, rows), block=7).collect(), key=lambda x: (x["conv_id"], x["segment"]))
     for c in range(6):
         mine = [p for p in parts if p["conv_id"] == c]
         assert len(mine) == 6 and sum(p["n_turns"] for p in mine) == 40

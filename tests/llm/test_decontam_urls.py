@@ -1,8 +1,11 @@
 import random
+import re
 from collections import Counter
+from urllib.parse import urljoin
 
 from commweave.llm import decontam
-from commweave.llm.urls import judge, normal_form
+from commweave.llm.sql import OP5_SQL
+from commweave.llm.urls import RULES, judge, normal_form, resolve
 from pyspark.sql import functions as F
 
 
@@ -42,14 +45,23 @@ def test_leaks_match_brute_force(spark, docs_of, prose):
     assert clean.columns == docs_of([]).columns
 
 
-def test_shuffled_paths_give_the_same(spark, docs_of, prose, monkeypatch):
+def test_null_and_repeated_ids(spark, docs_of, prose):
+    items = [(i, prose(30, 70 + i)) for i in range(2)] + [(None, prose(30, 90))]
+    rows = [(1, prose(9, 1) + " " + items[0][1]), (None, prose(9, 2) + " " + items[0][1]), (None, prose(9, 3) + " " + items[2][1]), (None, prose(50, 4)), (None, None)]
+    rows += [(7, prose(50, 5)), (7, items[1][1]), (7, items[1][1]), (8, (prose(9, 8) + " ") * 9000 + items[1][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((x["doc_id"], x["item_id"]) for x in decontam.leaks(docs_of(rows), benchmark).collect())
+    assert got == {(1, 0): 1, (None, 0): 1, (None, None): 1, (7, 1): 1, (8, 1): 1}
+    clean = decontam.decontaminate(docs_of(rows), benchmark).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in clean) == [(0, ""), (0, prose(50, 4)), (7, prose(50, 5))]
+
+
+def test_shuffled_paths_give_the_same(spark, docs_of, prose):
     items = [(i, prose(30, 70 + i)) for i in range(3)]
     rows = [(i, prose(9, i) + " " + items[i % 3][1]) for i in range(9)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     one = sorted(map(tuple, decontam.leaks(docs_of(rows), benchmark).collect()))
-    monkeypatch.setattr(decontam, "BROADCAST_SHINGLES", 0)
-    monkeypatch.setattr(decontam, "BROADCAST_STARTS", 0)
-    assert sorted(map(tuple, decontam.leaks(docs_of(rows), benchmark).collect())) == one and len(one) == 9
+    assert sorted(map(tuple, decontam.leaks(docs_of(rows), benchmark, broadcast_shingles=0, broadcast_starts=0).collect())) == one and len(one) == 9
 
 
 def test_documents_shorter_than_an_item(spark, docs_of, prose):
@@ -123,3 +135,70 @@ def test_normal_form(spark):
     urls = ["HTTP://A.com:80/x/?utm_source=q&b=2&a=1#f", "https://a.com/x?a=1&b=2", "https://a.com/x?ref=1", None, "a.com/x"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(normal_form(F.col("u"))).collect()]
     assert got == ["a.com/x?a=1&b=2", "a.com/x?a=1&b=2", "a.com/x", None, None]
+
+
+def test_links_are_resolved_as_browsers_do(spark):
+    bases = ["https://a.com/x/y/z?q=1#f", "http://b.org", "https://c.net/"]
+    links = ["//d.com/e", "/e/f", "g", "../g", "../../../g?x=1", "./", "..", "?p=2", "#top", "http://e.com/en/1", "h/./i/../j"]
+    rows = [(b, u) for b in bases for u in links]
+    got = [r[0] for r in spark.createDataFrame(rows, "b string, u string").select(resolve(F.col("b"), F.col("u"))).collect()]
+    plain = lambda u: re.sub(r"#.*", "", u).rstrip("/")
+    assert [plain(x) for x in got] == [plain(urljoin(b, u)) for b, u in rows]
+    odd = spark.createDataFrame([("https://a.com/", "mailto:x@y.z"), (None, "/a"), ("none", "/a"), ("https://a.com/", None)], "b string, u string")
+    assert [r[0] for r in odd.select(resolve(F.col("b"), F.col("u"))).collect()] == [None] * 4
+
+
+def verdicts(pages):
+    """Brute force over urljoin and union-find, for URLs that are their own normal form."""
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    plain = lambda u: u.split("://")[1].rstrip("/")
+
+    def rule(u):
+        host, _, path = plain(u).partition("/")
+        fit = [(len(h + s), v, h + s) for v, h, s in RULES if (host == h or host.endswith("." + h)) and ("/" + path if path else u.split("://")[1][len(host) :]).startswith(s)]
+        return max(fit)[1:] if fit else None
+
+    said, urls = {}, set()
+    for _, u, html in pages:
+        urls.add(u)
+        for t in re.findall(r'(?:href|url)="?([^">]+)"', html):
+            target = urljoin(u, t.replace("&amp;", "&"))
+            urls.add(target)
+            parent[find(plain(target))] = find(plain(u))
+    for u in urls:
+        if rule(u):
+            said.setdefault(find(plain(u)), set()).add(rule(u)[0])
+    judged = {}
+    for i, u, _ in pages:
+        theirs = said.get(find(plain(u)), {"allow"})
+        judged[i] = (rule(u)[1], rule(u)[0]) if rule(u) else (None, min(theirs))
+    return judged
+
+
+def test_random_links_match_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+
+    r, pages = random.Random(12), []
+    hosts = ["a.example.com", "b.info", "c.net", "x.example.net", "d.org", "e.info", "f.info"]
+    url = lambda: f"https://{r.choice(hosts)}/{r.choice(['en', 'de', 'es', 'q'])}/{r.randrange(70, 95)}"
+    for i in range(150):
+        u, links = url(), ""
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            t = r.choice([url(), "//" + url().split("://")[1], "/" + url().split("/", 3)[3], str(r.randrange(70, 95)), f"../de/{r.randrange(70, 95)}"])
+            links += r.choice([f'<link rel="canonical" href="{t}">', f'<meta http-equiv="refresh" content="0;url={t}">'])
+        pages.append((i, u, f"<head>{links}</head>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {x["page_id"]: (x["rule"], x["verdict"]) for x in judge(df).collect()}
+    assert got == verdicts(pages) and sum(v == "block" and rule is None for rule, v in got.values()) > 5
+    more = df.unionByName(spark.createDataFrame([p for p in PAGES if p[0] != 9], df.schema).selectExpr("page_id + 1000 as page_id", "url", "html"))
+    more.toPandas().to_parquet(tmp_path / "pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(db.sql(OP5_SQL).fetchall(), key=key) == sorted((tuple(x) for x in judge(more).collect()), key=key)

@@ -1,9 +1,12 @@
+import random
+import time
 from collections import Counter, defaultdict
+from itertools import product
 
 from pyspark.sql import functions as F
 
 from commweave.llm.common import word_count
-from commweave.llm.mixing import mix, route, source_targets
+from commweave.llm.mixing import PASS_COSTS, mix, route, source_targets
 from commweave.llm.sharding import place, shard
 
 
@@ -16,31 +19,70 @@ def test_targets_stop_at_three_times_a_source_and_share_out():
     assert t == {"a": 5.0, "b": 10.0, "c": 15.0}
 
 
-def test_flow_uses_overlapping_patterns_before_repeating():
-    flow = route({"x": (("a",), 10), "y": (("a", "b"), 10), "z": (("b",), 10)}, {"a": 15, "b": 15})
-    assert sum(flow.values()) == 30
-    used = defaultdict(int)
-    for (p, _), n in flow.items():
-        used[p] += n
-    assert used == {"x": 10, "y": 10, "z": 10}
-    flow = route({"x": (("a",), 10), "y": (("b",), 10)}, {"a": 25, "b": 40})
-    assert flow == {("x", "a"): 25, ("y", "b"): 30}
+def cost_of(used, words, costs=PASS_COSTS):
+    """Cost of using ``used`` words of texts of ``words`` words."""
+    total = 0
+    for i, c in enumerate(costs):
+        step = used if i + 1 == len(costs) else min(used, words)
+        total, used = total + c * step, used - step
+    return total
+
+
+def test_flow_is_the_largest_and_cheapest_of_all():
+    r = random.Random(6)
+    for _ in range(60):
+        sources = ["a", "b", None][: r.randint(1, 3)]
+        patterns = [(s,) for s in sources] + [tuple(sources)] * (len(sources) > 1)
+        words = {p: r.randint(0, 3) for p in patterns}
+        rooms = {(p, s): r.randint(0, 4) for p in patterns for s in p}
+        quotas = {s: r.randint(0, 5) for s in sources}
+        flow = route(words, rooms, quotas)
+        cells = list(rooms)
+        best = None
+        for given in product(*(range(rooms[c] + 1) for c in cells)):
+            if all(sum(n for c, n in zip(cells, given) if c[1] == s) <= quotas[s] for s in sources):
+                cost = sum(cost_of(sum(n for c, n in zip(cells, given) if c[0] == p), words[p]) for p in patterns)
+                best = min(best or (0, 0), (-sum(given), cost)) if best else (-sum(given), cost)
+        assert all(0 <= flow[c] <= rooms[c] for c in cells) and all(sum(flow[c] for c in cells if c[1] == s) <= quotas[s] for s in sources)
+        got = sum(cost_of(sum(flow[c] for c in cells if c[0] == p), words[p]) for p in patterns)
+        assert (-sum(flow.values()), got) == best
+
+
+def test_many_patterns_are_routed_in_seconds():
+    r, began = random.Random(7), time.time()
+    sources = [f"s{i}" for i in range(20)]
+    patterns = {tuple(sorted(r.sample(sources, r.randint(1, 6)))): r.randint(1, 1000) for _ in range(5000)}
+    rooms = {(p, s): 3 * n for p, n in patterns.items() for s in p}
+    total = sum(patterns.values())
+    flow = route(patterns, rooms, {s: total * (1 + i % 3) / 40 for i, s in enumerate(sources)})
+    assert sum(flow.values()) == sum(round(total * (1 + i % 3) / 40) for i in range(20)) and time.time() - began < 30
 
 
 def test_mix_comes_near_targets_alike_on_every_run(docs_of, prose):
     rows = [(i, prose(5 + i % 17, i), "en", "abc"[i % 3]) for i in range(300)] + [(900, None, "en", "a"), (901, "", "en", None), (902, "x y", "en", None), (3, prose(5, 3), "en", "a")]
+    rows += [(1000 + i, prose(5 + i % 17, i), "en", "bcad"[i % 4]) for i in range(60)] + [(2000 + i, "", "en", "d") for i in range(9)]
     docs = docs_of(rows)
-    run = lambda: sorted((r["doc_id"], r["source"] or "", r["_repeats"], r["n"]) for r in mix(docs, F.col("doc_id"), F.array("source"), word_count(F.col("text"))).select("doc_id", "source", "_repeats", word_count(F.col("text")).alias("n")).collect())
+    text = F.col("text")
+    mixed = lambda **more: mix(docs, F.col("doc_id"), F.col("source"), word_count(text), F.sha2(text.cast("binary"), 256), **more).select("doc_id", "source", "_repeats", word_count(text).alias("n"))
+    run = lambda **more: sorted((r["doc_id"], r["source"] or "", r["_repeats"], r["n"]) for r in mixed(**more).collect())
     one = run()
     assert one == run() and len(one) == len(rows)
-    size, taken = Counter(), Counter()
-    for _, s, k, n in one:
-        assert 0 <= k <= 3
-        size[s] += n
-        taken[s] += k * n
-    targets = source_targets({s or None: n for s, n in size.items()})
-    assert all(abs(taken[s or ""] - t) <= 5 for s, t in targets.items())
-    assert mix(docs_of([]), F.col("doc_id"), F.array("source"), F.lit(1)).count() == 0
+    for found in (one, run(patterns=1)):
+        size, taken = Counter(), Counter()
+        for _, s, k, n in found:
+            assert 0 <= k <= 3
+            size[s] += n
+            taken[s] += k * n
+        targets = source_targets({s or None: n for s, n in size.items()})
+        assert all(abs(taken[s or ""] - t) <= 5 * 8 for s, t in targets.items())
+    assert mix(docs_of([]), F.col("doc_id"), F.col("source"), F.lit(1)).count() == 0
+
+
+def test_a_text_that_others_need_is_left_to_them(docs_of):
+    """a has two texts of its own beside one that b has too; b has nothing else."""
+    rows = [(1, "one two", "en", "a"), (2, "three four", "en", "a"), (3, "both here", "en", "a"), (4, "both here", "en", "b")]
+    found = mix(docs_of(rows), F.col("doc_id"), F.col("source"), F.lit(2), F.col("text"), {"a": 4, "b": 2})
+    assert {r["doc_id"]: r["_repeats"] for r in found.collect()} == {1: 1, 2: 1, 3: 0, 4: 1}
 
 
 def check_shards(rows, docs, shards=24):
