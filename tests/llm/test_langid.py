@@ -17,7 +17,7 @@ def test_gradients_match_differences():
     data, mask, label = rng.integers(97, 100, (5, 3)).astype(np.uint8), np.ones((5, 3)), np.array([0, 1, 1])
     mask[3:, 1] = 0
     _, grad = net.gradients(data, mask, label)
-    for name, at in (("x", (0, 97, 2)), ("x", (1, 98, 11)), ("x", (0, 99, 20)), ("u", (0, 1, 3)), ("u", (1, 2, 12)), ("u", (1, 0, 19)), ("c", (0, 4)), ("v", (1, 3, 1)), ("b", (0,))):
+    for name, at in (("x", (0, 97, 2)), ("x", (1, 98, 11)), ("x", (0, 99, 20)), ("u", (0, 1, 3)), ("u", (1, 2, 13)), ("u", (1, 0, 19)), ("c", (0, 4)), ("v", (1, 3, 1)), ("b", (0,))):
         losses = []
         for e in (1e-3, -1e-3):
             net.p[name][at] += e
@@ -34,7 +34,7 @@ def test_fast_run_matches_the_training_states():
     out = [np.stack([runs[0][i + 1][1] for i in range(9)]), np.stack([runs[1][i + 1][1] for i in range(9)])[::-1]]
     logits = out[0] @ net.p["v"][0] + out[1] @ net.p["v"][1] + net.p["b"]
     prob = np.exp(logits) / np.exp(logits).sum(2, keepdims=True)
-    assert np.abs(net.run(data).transpose(1, 2, 0) - prob).max() < 1e-4
+    assert np.abs(net.run(data).transpose(0, 2, 1) - prob).max() < 1e-4
 
 
 def test_held_out_accuracy_and_odd_rows(docs_of):
@@ -61,9 +61,27 @@ def test_nothing_to_learn_from(docs_of):
     assert langid.predict(docs_of([]), None).count() == 0 and langid.accept(docs_of([])).count() == 0
 
 
-def test_segments_pool_to_whole_texts():
+def test_segments_pool_to_whole_texts_whatever_is_around():
     net = langid.Network(["a", "b"], np.random.default_rng(2))
-    texts = [b"x" * n for n in (1, 127, 128, 129, 1000)] + [b""]
+    n = langid.SEGMENT
+    texts = [b"x" * k for k in (1, n - 1, n, n + 1, 5000)] + [b"", ("aé€😀" * 700).encode()]
     shares = net.pooled(texts)
-    assert np.abs(shares[:-1].sum(1) - 1).max() < 1e-4 and shares[-1].sum() == 0
-    assert np.abs(net.pooled([texts[3]])[0] - shares[3]).max() < 1e-6
+    assert np.abs(shares[[0, 1, 2, 3, 4, 6]].sum(1) - 1).max() < 1e-4 and shares[5].sum() == 0
+    for i, t in enumerate(texts):
+        assert (net.pooled([t])[0] == shares[i]).all()
+        assert (net.pooled([b"other text"] * 1500 + [t] + texts)[1500] == shares[i]).all()
+
+
+def test_segments_carry_the_state_of_the_text():
+    """Positions next to a border say almost what they say in one run over the whole text."""
+    net = langid.train_on([(l, t) for _, t, l in rows_of(300)])
+    text = " ".join(t for _, t, l in rows_of(60) if l == "cc").encode()[:1500]
+    whole = net.run(np.frombuffer(text, np.uint8)[:, None]).mean(0)[:, 0]
+    assert np.abs(net.pooled([text])[0] - whole).max() < 2e-3
+
+
+def test_scores_do_not_depend_on_partitions(docs_of):
+    docs = docs_of(rows_of(90))
+    net = langid.train(docs)
+    one, many = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs.repartition(n), net).collect()} for n in (1, 13))
+    assert one == many and len(one) == 90
