@@ -1,6 +1,6 @@
 """Context-tree weighting over bytes: a language model with the code length of every text.
 
-A text is coded as its words in lower case, joined by one space, and an end mark. Every byte is eight binary decisions;
+A text is coded as its words in lower case, each with one space after it, and an end mark. Every byte is eight binary decisions;
 a decision's counts under the last 0, 1, ..., DEPTH bytes, across words, give Krichevsky-Trofimov estimates, and the
 weighted context tree mixes them over all depths. An event is a byte with its context; texts share events, so each
 distinct event is weighed once and every text looks up all of its own.
@@ -14,12 +14,12 @@ depth 0 and 65,536 at depth 1 at most, and these two are completed on the driver
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +29,14 @@ DEPTH = 6
 END = b"\n"
 #: The shallowest cut, and distinct events that a subtree below the cut may have before the cut goes a byte deeper.
 LEAST_CUT, GROUP = 3, 200_000
-#: Events and tokens sent to all tasks: HOT of 16 bytes; tokens that make up 1/OFTEN of all at least (so OFTEN at most), if not longer than SHORT bytes.
-HOT, OFTEN, SHORT = 1 << 21, 65_536, 64
-#: Distinct events or bytes of distinct tokens that a task gathers before it hands them on; bytes of text and texts that are looked up together.
-FLUSH_EVENTS, FLUSH_TOKENS, TOGETHER, TEXTS = 1 << 21, 1 << 24, 1 << 21, 256
+#: The most frequent events and tokens are sent to all tasks: HOT of 16 bytes, OFTEN of SHORT bytes, at most.
+HOT, OFTEN, SHORT = 1 << 21, 1 << 16, 64
+#: Distinct events or bytes of distinct tokens that a task gathers before it hands them on, and bytes of text that it counts at a time.
+FLUSH_EVENTS, FLUSH_TOKENS, GATHERED = 3 << 19, 1 << 24, 1 << 21
+#: Bytes of text and texts that are looked up together.
+TOGETHER, TEXTS = 1 << 20, 256
+#: Buckets in which counts of events are added up, by the last LEAST_CUT bytes of the context.
+BUCKETS = 1024
 LN2 = math.log(2)
 _LEVELS = np.arange(8)
 
@@ -54,8 +58,19 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def spelled(text: bytes | None) -> bytes:
-    """The bytes that stand for a text: its words in lower case (A-Z), one space between them, and the end mark."""
-    return b" ".join((text or b"").lower().split()) + END
+    """The bytes that stand for a text: its words in lower case (A-Z), a space after each, and the end mark."""
+    words = (text or b"").lower().split()
+    return b" ".join(words) + b" " + END if words else END
+
+
+def tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens of spelled texts (words with their space, and the end mark), each token's place among them, and its text."""
+    data = b"".join(texts)
+    buffer = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero((buffer == 32) | (buffer == END[0])) + 1
+    encoded = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+    mark = buffer[ends - 1] == END[0]
+    return encoded.dictionary, encoded.indices.to_numpy(), np.cumsum(mark) - mark
 
 
 def events(texts: list[bytes]) -> np.ndarray:
@@ -181,49 +196,75 @@ def _whole_groups(work: Callable[[pd.DataFrame], pd.DataFrame]):
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(held_out, text) to partial counts (token, c in training texts, occurrences)."""
-    train, held, size = Counter(), Counter(), 0
+    kept: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
-    def rows():
-        tokens = list(train.keys() | held.keys())
-        for a in range(0, len(tokens), 50_000):
-            some = tokens[a : a + 50_000]
-            c = [train[t] for t in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(c, pa.int64()), pa.array([x + held[t] for t, x in zip(some, c)], pa.int64())], ["token", "c", "total"])
-        train.clear()
-        held.clear()
+    def merged() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        every = pa.concat_arrays([x for x, _, _ in kept]).dictionary_encode()
+        place, n = every.indices.to_numpy(), len(every.dictionary)
+        return every.dictionary, *(np.bincount(place, np.concatenate([x[i] for x in kept]), n).astype(np.int64) for i in (1, 2))
+
+    def rows(distinct, c, total):
+        for a in range(0, len(distinct), 50_000):
+            yield pa.RecordBatch.from_arrays([distinct.slice(a, 50_000), pa.array(c[a : a + 50_000]), pa.array(total[a : a + 50_000])], ["token", "c", "total"])
+
+    size = 0
+    for texts, outs in _pieces(batches, GATHERED):
+        for held in (False, True):
+            some = [t for t, out in zip(texts, outs) if bool(out) == held]
+            if some:
+                distinct, place, _ = tokens(some)
+                times = np.bincount(place, minlength=len(distinct))
+                kept.append((distinct, np.zeros_like(times) if held else times, times))
+                size += distinct.nbytes
+        if size > FLUSH_TOKENS:
+            kept = [merged()]
+            size = kept[0][0].nbytes
+            if size > FLUSH_TOKENS // 2:
+                yield from rows(*kept[0])
+                kept, size = [], 0
+    if kept:
+        yield from rows(*merged())
+
+
+def _merged(kept: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys of several (keys, n, m), with sums."""
+    keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _, _ in kept)])
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    sums = (np.add.reduceat(np.concatenate([x[i] for x in kept])[order], starts) if len(starts) else np.zeros(0, np.int64) for i in (1, 2))
+    return keys[starts], *sums
+
+
+def _packed(keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> bytes:
+    """Sorted keys as differences, and counts, byte plane by byte plane: shuffles compress planes of zeros."""
+    planes = (np.diff(keys, prepend=np.uint64(0)), n.astype(np.uint32), m.astype(np.uint32))
+    return b"".join(x.view(np.uint8).reshape(len(keys), -1).T.tobytes() for x in planes)
 
-    for b in batches:
-        for out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            into = held if out else train
-            words = (text or b"").lower().split()
-            before = len(into)
-            into.update(words)
-            into[b""] += 1
-            size += (len(into) - before) * (40 + len(text or b"") // (len(words) + 1))
-            if size > FLUSH_TOKENS:
-                yield from rows()
-                size = 0
-    yield from rows()
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(blob, np.uint8).reshape(16, -1)
+    keys = np.ascontiguousarray(planes[:8].T).view(np.uint64).reshape(-1)
+    n, m = (np.ascontiguousarray(planes[a : a + 4].T).view(np.uint32).reshape(-1).astype(np.int64) for a in (8, 12))
+    return np.cumsum(keys, dtype=np.uint64), n, m
 
 
 def _count_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(held_out, text) to partial counts (key, n in training texts, m in all)."""
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _, _ in kept)])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        sums = [np.add.reduceat(np.concatenate([x[i] for x in kept])[order], starts) if len(starts) else np.zeros(0, np.int64) for i in (1, 2)]
-        return keys[starts], *sums
-
-    def rows(found):
-        for a in range(0, len(found[0]), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(found[0][a : a + 200_000].view(np.int64)), *(pa.array(x[a : a + 200_000]) for x in found[1:])], ["key", "n", "m"])
+    """(held_out, text) to partial counts (bucket, packed keys with their number in training texts and in all)."""
+    kept: list[tuple[np.ndarray, ...]] = []
+
+    def rows(keys, n, m):
+        last = (keys >> np.uint64(8 * (DEPTH + 1 - LEAST_CUT))).astype(np.uint32)
+        bucket = (last * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16) % np.uint16(BUCKETS)
+        order = np.argsort(bucket, kind="stable")
+        bucket, keys, n, m = bucket[order], keys[order], n[order], m[order]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+        ends = np.r_[starts[1:], len(bucket)]
+        blobs = [_packed(keys[a:z], n[a:z], m[a:z]) for a, z in zip(starts, ends)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     size = 0
-    for texts, outs in _pieces(batches):
+    for texts, outs in _pieces(batches, GATHERED):
         for held in (False, True):
             some = [t for t, out in zip(texts, outs) if bool(out) == held]
             if some:
@@ -231,23 +272,49 @@ def _count_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 kept.append((keys, np.zeros_like(times) if held else times, times))
                 size += len(keys)
         if size > FLUSH_EVENTS:
-            kept = [merged()]
+            kept = [_merged(kept)]
             size = len(kept[0][0])
             if size > FLUSH_EVENTS // 2:
-                yield from rows(kept[0])
+                yield from rows(*kept[0])
                 kept, size = [], 0
-    yield from rows(merged())
+    if kept:
+        yield from rows(*_merged(kept))
+
 
+def _add_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (bucket, blob) to whole counts (key, n, m)."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    now, size = None, 0
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list]]:
-    """Spelled texts and their marks of (held_out, text), some megabytes at a time."""
+    def rows():
+        found = _merged(kept)
+        for a in range(0, len(found[0]), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(found[0][a : a + 200_000].view(np.int64)), *(pa.array(x[a : a + 200_000]) for x in found[1:])], ["key", "n", "m"])
+
+    for b in batches:
+        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1)):
+            if bucket != now:
+                if kept:
+                    yield from rows()
+                kept, now, size = [], bucket, 0
+            kept.append(_unpacked(blob.as_py()))
+            size += len(kept[-1][0])
+            if size > 2 * FLUSH_EVENTS:
+                kept = [_merged(kept)]
+                size = len(kept[0][0]) // 2  # what is distinct already isn't merged again at once
+    if kept:
+        yield from rows()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[bytes], list]]:
+    """Spelled texts and their marks of (held_out, text), ``most`` bytes at a time or one longer text."""
     texts, outs, size = [], [], 0
     for b in batches:
         for out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             texts.append(spelled(text))
             outs.append(out)
             size += len(texts[-1])
-            if size > TOGETHER:
+            if size > most:
                 yield texts, outs
                 texts, outs, size = [], [], 0
     if texts:
@@ -264,7 +331,8 @@ def tree(given: DataFrame, cut_at: int | None = None, group: int = GROUP) -> Dat
 
     cut_at: where the tree is cut, from 2 to DEPTH - 1; by default as deep as makes subtrees of ``group`` events at most.
     """
-    counts = cut(given.mapInArrow(_count_events, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    parts = given.mapInArrow(_count_events, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    counts = cut(parts.mapInArrow(_add_events, "key long, n long, m long"))
     last = lambda c: F.shiftrightunsigned("key", 8 * (DEPTH + 1 - c))
     if cut_at is None:
         for cut_at in range(LEAST_CUT, DEPTH):
@@ -327,22 +395,17 @@ def tree(given: DataFrame, cut_at: int | None = None, group: int = GROUP) -> Dat
     return cut(both.repartition("g").sortWithinPartitions("g", "key").mapInPandas(_whole_groups(score), "key long, m long, lp double"))
 
 
-def frequent_events(scored: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, and log10 probabilities of the most frequent events, ``most`` at most: all with at least so many occurrences."""
-    step = F.floor(F.log2("m") * 8).cast("int")
-    sizes = sorted(((r["s"], r["count"]) for r in scored.groupBy(step.alias("s")).count().collect()), reverse=True)  # 512 rows at most
-    total, least = 0, None
+def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows with the highest counts, ``most`` at most: all from some count on."""
+    step = F.floor(F.log2(column) * 8).cast("int")
+    sizes = sorted(((r["s"], r["count"]) for r in counts.groupBy(step.alias("s")).count().collect()), reverse=True)  # 512 rows at most
+    total, least = 0, 1 << 20
     for s, n in sizes:
         total += n
         if total > most:
             break
         least = s
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    rows = scored.where(step >= least).select("key", "lp").toArrow()
-    key, lp = rows["key"].to_numpy().view(np.uint64), rows["lp"].to_numpy()
-    order = np.argsort(key)
-    return key[order], lp[order]
+    return counts.where(step >= least)
 
 
 def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", cut_at: int | None = None, hot: int = HOT, often: int = OFTEN, group: int = GROUP) -> DataFrame:
@@ -356,18 +419,23 @@ def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: st
     """
     given = docs.select(F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), F.col(text).cast("binary").alias("text"))
     vocab = cut(vocabulary(given))
-    totals = vocab.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum("total").alias("all")).first()
-    n, v, every = totals["n"] or 0, totals["v"] or 0, totals["all"] or 0
+    totals = vocab.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    n, v = totals["n"] or 0, totals["v"] or 0
     scored = tree(given, cut_at, group)
-    hot_key, hot_lp = frequent_events(scored, hot)
-    short = vocab.where((F.col("total") * often >= every) & (F.octet_length("token") <= SHORT)).select("token", "c").collect()  # OFTEN short rows at most
-    frequent = {bytes(r["token"]): (r["c"], math.log10((r["c"] + 1) / (n + v + 1))) for r in short}
+    rows = most_frequent(scored, "m", hot).select("key", "lp").toArrow()
+    hot_key, hot_lp = rows["key"].to_numpy().view(np.uint64), rows["lp"].to_numpy()
+    order = np.argsort(hot_key)
+    hot_key, hot_lp = hot_key[order], hot_lp[order]
+    short = most_frequent(vocab.where(F.octet_length("token") <= SHORT), "total", often).select("token", "c").toArrow()
+    often_token, often_c = short["token"].combine_chunks(), short["c"].to_numpy().astype(np.float64)
+    # One entry more, for tokens that aren't among them.
+    often_known, often_base = np.r_[often_c > 0, False].astype(np.float64), np.r_[np.log10((often_c + 1) / (n + v + 1)), 0.0]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of sums over frequent tokens and events for each text, and rows of its other tokens and events."""
         names = ["row", "doc_id", "held_out", "bytes", "token", "key", "tf", "known", "base", "score"]
         for b in batches:
-            sizes = np.diff(np.r_[0, np.cumsum([len(t) if t else 0 for t in b.column(3).to_pylist()])])
+            sizes = pc.fill_null(pc.binary_length(b.column(3)), 0).to_pylist()
             at = 0
             while at < b.num_rows:
                 end, size = at + 1, sizes[at]
@@ -376,45 +444,35 @@ def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: st
                     end += 1
                 some = b.slice(at, end - at)
                 at = end
-                row, ident, out, texts = some.column(0).to_pylist(), some.column(1), some.column(2), some.column(3).to_pylist()
-                rare_row, rare, rare_tf, sums = [], [], [], []
-                for r, t in zip(row, texts):
-                    tf = Counter((t or b"").lower().split())
-                    tf[b""] = 1
-                    tokens = known = base = 0
-                    for w, k in tf.items():
-                        if (x := frequent.get(w)) is None:
-                            rare_row.append(r)
-                            rare.append(w)
-                            rare_tf.append(k)
-                        else:
-                            tokens += k
-                            known += k if x[0] else 0
-                            base += k * x[1]
-                    sums.append((tokens, known, float(base)))
+                row, bodies = some.column(0), [spelled(t) for t in some.column(3).to_pylist()]
+                rows_, many = row.to_numpy(), len(bodies)
+                distinct, place, owner = tokens(bodies)
+                entry = pc.fill_null(pc.index_in(distinct, value_set=often_token), len(often_token)).to_numpy()[place]
+                sums = [np.bincount(owner, w[entry], many) for w in (often_known, often_base)]
+                rare, tf = _runs(owner[entry == len(often_token)] * np.int64(len(distinct)) + place[entry == len(often_token)])
                 # Keys take 56 bits; the text's place among TEXTS rides below, so that plain values are sorted.
-                bodies = [spelled(t) for t in texts]
                 lengths = np.array([len(t) for t in bodies])
-                mine = events(bodies) << np.uint64(8) | np.repeat(np.arange(len(bodies)), lengths).astype(np.uint64)
-                pairs, times = _runs(mine)
-                key, owner = pairs >> np.uint64(8), (pairs & np.uint64(255)).astype(np.int64)
-                place = np.minimum(np.searchsorted(hot_key, key), max(len(hot_key) - 1, 0))
-                hit = hot_key[place] == key if len(hot_key) else np.zeros(len(key), bool)
-                score = np.bincount(owner[hit], times[hit] * hot_lp[place[hit]], len(bodies)) if len(hot_key) else np.zeros(len(bodies))
-                left_row, left_key, left_tf = np.array(row, np.int64)[owner[~hit]], key[~hit].view(np.int64), times[~hit]
-                m, k, cols = len(rare), len(left_key), list(zip(*sums))
-                blank = lambda x, kind: pa.concat_arrays([x, pa.nulls(m + k, kind)])
+                pairs = events(bodies) << np.uint64(8) | np.repeat(np.arange(many), lengths).astype(np.uint64)
+                pairs.sort()
+                key, whose = pairs >> np.uint64(8), (pairs & np.uint64(255)).astype(np.int64)
+                spot = np.minimum(np.searchsorted(hot_key, key), max(len(hot_key) - 1, 0))
+                hit = hot_key[spot] == key if len(hot_key) else np.zeros(len(key), bool)
+                score = np.bincount(whose[hit], hot_lp[spot[hit]] if len(hot_key) else None, many).astype(np.float64)
+                pairs, times = _runs(pairs[~hit])
+                left, whose = (pairs >> np.uint64(8)).view(np.int64), (pairs & np.uint64(255)).astype(np.int64)
+                m, k = len(rare), len(left)
+                blank = lambda x, of: pa.concat_arrays([x, pa.nulls(m + k, of)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([pa.array(row, pa.int64()), pa.array(rare_row, pa.int64()), pa.array(left_row)]),
-                        blank(ident, ident.type),
-                        blank(out, pa.bool_()),
+                        pa.array(np.r_[rows_, rows_[rare // len(distinct)], rows_[whose]]),
+                        blank(some.column(1), some.column(1).type),
+                        blank(some.column(2), pa.bool_()),
                         blank(pa.array(lengths), pa.int64()),
-                        pa.array([None] * len(row) + rare + [None] * k, pa.binary()),
-                        pa.concat_arrays([pa.nulls(len(row) + m, pa.int64()), pa.array(left_key)]),
-                        pa.concat_arrays([pa.array(cols[0], pa.int64()), pa.array(rare_tf, pa.int64()), pa.array(left_tf)]),
-                        blank(pa.array(cols[1], pa.int64()), pa.int64()),
-                        blank(pa.array(cols[2], pa.float64()), pa.float64()),
+                        pa.concat_arrays([pa.nulls(many, pa.binary()), distinct.take(pa.array(rare % len(distinct))), pa.nulls(k, pa.binary())]),
+                        pa.concat_arrays([pa.nulls(many + m, pa.int64()), pa.array(left)]),
+                        pa.array(np.r_[np.bincount(owner, minlength=many), tf, times]),
+                        blank(pa.array(sums[0].astype(np.int64)), pa.int64()),
+                        blank(pa.array(sums[1]), pa.float64()),
                         blank(pa.array(score), pa.float64()),
                     ],
                     names,
@@ -427,7 +485,7 @@ def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: st
     none = lambda of, name: F.lit(None).cast(of).alias(name)
     same = ["row", none(kind, "doc_id"), none("boolean", "held_out"), none("long", "bytes")]
     rare = parts.where("token is not null").select("row", "token", "tf").join(vocab.select("token", "c"), "token")
-    rare = rare.select(*same, "tf", F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known"), (F.col("tf") * chance).alias("base"), F.lit(0.0).alias("score"))
+    rare = rare.select(*same, F.lit(0).cast("long").alias("tf"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known"), (F.col("tf") * chance).alias("base"), F.lit(0.0).alias("score"))
     left = parts.where("key is not null").select("row", "key", "tf").join(scored.select("key", "lp"), "key")
     left = left.select(*same, F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("tf") * F.col("lp")).alias("score"))
     total = parts.where("token is null and key is null").drop("token", "key").unionByName(rare).unionByName(left).groupBy("row").agg(
