@@ -22,6 +22,7 @@ def main(argv: list[str] | None = None) -> None:
     args.add_argument("--sub-rounds", type=int, default=8)
     args.add_argument("--out", default="membership")
     args.add_argument("--membership", help="lines 'index community' or 'community' by dense index")
+    args.add_argument("--by-id", action="store_true", help="the membership's lines name vertices by their ids in the graph")
     args.add_argument("--delta-percent", type=float, default=float(os.environ.get("DELTA_PERCENT") or 0))
     args.add_argument("--seed", type=int, default=0)
     args.add_argument("--no-header", action="store_true")
@@ -33,7 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     edges = text.read_edge_list(spark, a.graph, header=not a.no_header)
     ids = graph.dense_ids(edges)
     g = graph.Graph.from_edges(graph.encode(edges, ids), symmetrize=a.symmetrize)
-    start = text.read_membership(spark, a.membership, ids.count()) if a.membership else community.singletons(g.vertices)
+    start = text.read_membership(spark, a.membership, ids.count(), ids if a.by_id else None) if a.membership else community.singletons(g.vertices)
     metrics: list[dict] = []
     found = detect(g, start, max(1, a.rounds), a.levels, a.sub_rounds, not a.unweighted, a.delta_percent, seed=a.seed, refine=a.refine, metrics=metrics)
     text.write_membership(found.join(ids, "v").select(F.col("orig").alias("v"), "c"), a.out)

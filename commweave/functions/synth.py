@@ -15,8 +15,9 @@ class Generator:
 
     def below(self, n: int) -> int:
         x = self.state
-        for left, by in ((False, 12), (True, 25), (False, 27)):
-            x ^= (x << by if left else x >> by) & _MASK
+        x ^= x >> 12
+        x ^= x << 25 & _MASK
+        x ^= x >> 27
         self.state = x
         return (x * 2685821657736338717 & _MASK) % n
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commweave.functions.order import running_before
+from commweave.functions.storage import Snapshot
 
 
 class CapacityError(ValueError):
@@ -54,6 +55,13 @@ def sparse_neighbor_map(edges: DataFrame, membership: DataFrame, vertices: DataF
     return near.join(known, "neighbor").select("part", "neighbor", "c", "t")
 
 
+def sparse_community_map(edges: DataFrame, membership: DataFrame, vertices: DataFrame, owners: DataFrame, delta: DataFrame) -> DataFrame:
+    """(part, c, t): the communities a part has to know: of its own vertices of ``delta`` and of their neighbours elsewhere."""
+    near = sparse_neighbor_map(edges, membership, vertices, owners, delta).select("part", "c", "t")
+    mine = delta.select("v").distinct().join(owners, "v").join(membership, "v").select("part", "c").distinct()
+    return near.unionByName(mine.join(totals(vertices, membership), "c").select("part", "c", "t")).distinct()
+
+
 def spans(vertices: DataFrame, membership: DataFrame) -> DataFrame:
     """(rank, c, start, length, degree_sum): communities by size, load (both descending) and id, laid out one after another."""
     by = [F.col("n").desc(), F.col("load").desc(), F.col("c")]
@@ -69,6 +77,15 @@ def reorder(vertices: DataFrame, membership: DataFrame) -> DataFrame:
     return running_before(keyed, [F.col("rank"), F.col("old_v")], name="new_v").select("old_v", "new_v", "rank")
 
 
+def reordered(edges: DataFrame, vertices: DataFrame, membership: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph under the ids of reorder(): edges (src, dst, src_c, dst_c), and vertices (v, k, c, old_v) with c their community's rank."""
+    ids = Snapshot(reorder(vertices, membership)).df
+    a = ids.select(F.col("old_v").alias("src"), F.col("new_v").alias("a"), F.col("rank").alias("src_c"))
+    b = ids.select(F.col("old_v").alias("dst"), F.col("new_v").alias("b"), F.col("rank").alias("dst_c"))
+    moved = edges.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "src_c", "dst_c")
+    return moved, ids.join(vertices.withColumnRenamed("v", "old_v"), "old_v").select(F.col("new_v").alias("v"), "k", F.col("rank").alias("c"), "old_v")
+
+
 def first_appearance(membership: DataFrame) -> DataFrame:
     """(c, new_c): communities numbered from 0 by their smallest vertex."""
     least = membership.groupBy("c").agg(F.min("v").alias("least"))

@@ -34,10 +34,14 @@ class Graph:
         return self.vertices.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("two_m"))
 
 
+def number(vertices: DataFrame) -> DataFrame:
+    """(orig, v): the vertices v numbered from 0 by ascending id."""
+    return running_before(vertices.select(F.col("v").alias("orig")), [F.col("orig")], name="v").select("orig", "v")
+
+
 def dense_ids(edges: DataFrame) -> DataFrame:
-    """(orig, v): vertices numbered from 0 by ascending id."""
-    ends = edges.select(F.col("src").alias("orig")).unionByName(edges.select(F.col("dst").alias("orig"))).distinct()
-    return running_before(ends, [F.col("orig")], name="v").select("orig", "v")
+    """(orig, v): the ends of edges numbered from 0 by ascending id."""
+    return number(edges.select(F.col("src").alias("v")).unionByName(edges.select(F.col("dst").alias("v"))).distinct())
 
 
 def encode(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -57,13 +61,18 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("v")).agg(F.array_sort(F.collect_list("dst")).alias("neighbors"))
 
 
-def range_partition(edges: DataFrame, parts: int) -> DataFrame:
+def ranges(vertices: DataFrame, parts: int) -> DataFrame:
     """(v, part): contiguous ranges of ceil(n / parts) vertices by ascending id."""
-    numbered = dense_ids(edges)
-    width = numbered.agg(F.ceil(F.count("*") / F.lit(parts)).cast("long").alias("width"))
+    numbered = number(vertices)
+    width = vertices.agg(F.ceil(F.count("*") / F.lit(parts)).cast("long").alias("width"))
     return numbered.crossJoin(F.broadcast(width)).select(F.col("orig").alias("v"), F.floor(F.col("v") / F.col("width")).cast("long").alias("part"))
 
 
+def range_partition(edges: DataFrame, parts: int) -> DataFrame:
+    """ranges() of the ends of edges."""
+    return ranges(degrees(edges), parts)
+
+
 def external_edges(edges: DataFrame, owners: DataFrame) -> DataFrame:
     """(part, n_edges): entries of each part that lead to another part."""
     a = owners.select(F.col("v").alias("src"), "part")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commweave.functions.storage import Snapshot, shared_dir
 from commweave.functions.synth import synth_updates as synth
 from commweave.operators import community, contract, graph, incremental, move, quality
-from commweave.plans.detect import detect, local_move
+from commweave.plans.detect import detect, local_move, move_affected
 from commweave.sources import tables, text
+from commweave.sources.store import stored
 
 #: Warm start: vertex v in community v mod C0; parts and owners of the examples.
 C0, PARTS, OWNERS = 25, 8, 4
@@ -20,38 +23,37 @@ def _warm(vertices: DataFrame) -> DataFrame:
 
 
 def _copart(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = tables.copart(spark, sf_dir)
-    vertices = graph.degrees(edges)
-    return edges, vertices, _warm(vertices)
+    g = stored(spark, sf_dir, "copart")
+    return g.edges, g.vertices, _warm(g.vertices)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(community, n_parts, total_degree) of the co-purchase graph, largest first."""
-    g = graph.Graph.from_edges(tables.copart(spark, sf_dir))
-    found = detect(g, rounds=1, levels=2, sub_rounds=4)
+    g = stored(spark, sf_dir, "copart")
+    found = detect(g)
     return community.sizes(g.vertices, found).select(F.col("c").alias("community"), F.col("n").alias("n_parts"), F.col("load").alias("total_degree")).orderBy(F.desc("n_parts"), "community")
 
 
 def edge_scan(spark, sf_dir):
-    lines = tables.user_next(spark, sf_dir).select(F.concat_ws(" ", "src", "dst").alias("value"))
+    lines = stored(spark, sf_dir, "user_next").edges.select(F.concat_ws(" ", "src", "dst").alias("value"))
     return text.parse_edges(lines).groupBy("src", "dst").agg(F.count("*").alias("multiplicity"))
 
 
 def dense_ids(spark, sf_dir):
-    return graph.dense_ids(tables.order_part(spark, sf_dir))
+    return graph.number(stored(spark, sf_dir, "order_part").vertices)
 
 
 def csr_offsets(spark, sf_dir):
-    return graph.csr_offsets(graph.degrees(tables.part_supp(spark, sf_dir)))
+    return graph.csr_offsets(stored(spark, sf_dir, "part_supp").vertices)
 
 
 def singleton_membership(spark, sf_dir):
-    return community.singletons(graph.degrees(tables.copart(spark, sf_dir)))
+    return community.singletons(stored(spark, sf_dir, "copart").vertices)
 
 
 def membership_check(spark, sf_dir):
     """A membership with planted faults: every 97th entry is missing, every 89th is there twice, others are malformed or out of range."""
-    ids = graph.dense_ids(tables.copart(spark, sf_dir))
+    ids = graph.number(stored(spark, sf_dir, "copart").vertices)
     n = ids.count()
     v, c = F.col("v"), F.col("v") % C0
     line = F.when(v % 83 == 1, F.concat_ws(" ", F.lit("x"), c)).when(v % 79 == 2, F.concat_ws(" ", v + n, c)).otherwise(F.concat_ws("\t", v, c))
@@ -70,14 +72,13 @@ def trace_parse(spark, sf_dir):
 
 
 def degree(spark, sf_dir):
-    return graph.degrees(tables.user_next(spark, sf_dir))
+    return graph.degrees(stored(spark, sf_dir, "user_next").edges)
 
 
 def total_degree(spark, sf_dir):
     found = None
     for name in ("copart", "part_supp", "cust_supp", "order_part", "user_next"):
-        g = graph.Graph.from_edges(getattr(tables, name)(spark, sf_dir))
-        row = g.two_m().select(F.lit(name).alias("graph"), "two_m")
+        row = stored(spark, sf_dir, name).two_m().select(F.lit(name).alias("graph"), "two_m")
         found = row if found is None else found.unionByName(row)
     return found
 
@@ -97,28 +98,56 @@ def community_count(spark, sf_dir):
 
 
 def neighbor_communities(spark, sf_dir):
-    edges = tables.user_next(spark, sf_dir).select("src", "dst")
-    return community.neighbor_communities(edges, _warm(graph.degrees(edges)))
+    g = stored(spark, sf_dir, "user_next")
+    return community.neighbor_communities(g.edges, _warm(g.vertices))
 
 
 def neighbor_weights(spark, sf_dir):
-    edges = tables.order_part(spark, sf_dir)
-    return community.neighbor_weights(edges, _warm(graph.degrees(edges)))
+    g = stored(spark, sf_dir, "order_part")
+    return community.neighbor_weights(g.edges, _warm(g.vertices))
 
 
 def sparse_neighbor_map(spark, sf_dir):
     edges, vertices, warm = _copart(spark, sf_dir)
     delta = vertices.where("v % 10 = 0").select("v")
-    return community.sparse_neighbor_map(edges, warm, vertices, graph.range_partition(edges, PARTS), delta)
+    return community.sparse_neighbor_map(edges, warm, vertices, graph.ranges(vertices, PARTS), delta)
+
+
+def sparse_community_map(spark, sf_dir):
+    """The communities that go with sparse_neighbor_map: a part's vertices' own and its external neighbours'."""
+    edges, vertices, warm = _copart(spark, sf_dir)
+    return community.sparse_community_map(edges, warm, vertices, graph.ranges(vertices, PARTS), vertices.where("v % 10 = 0").select("v"))
 
 
 def external_edges(spark, sf_dir):
-    edges = tables.copart(spark, sf_dir)
-    return graph.external_edges(edges, graph.range_partition(edges, PARTS))
+    g = stored(spark, sf_dir, "copart")
+    return graph.external_edges(g.edges, graph.ranges(g.vertices, PARTS))
 
 
 def range_partition(spark, sf_dir):
-    return graph.range_partition(tables.copart(spark, sf_dir), PARTS)
+    return graph.ranges(stored(spark, sf_dir, "copart").vertices, PARTS)
+
+
+def adjacency(spark, sf_dir):
+    """Sorted neighbours of every vertex, as text, with their offsets."""
+    g = stored(spark, sf_dir, "part_supp")
+    return graph.csr_offsets(g.vertices).join(graph.adjacency(g.edges), "v").select("v", "start", F.array_join("neighbors", ",").alias("neighbors"))
+
+
+def membership_by_id(spark, sf_dir):
+    """A membership keyed by original ids, read from text: every vertex with its community, and how many communities there can be."""
+    g = stored(spark, sf_dir, "part_supp")
+    lines = g.vertices.select(F.concat_ws(" ", "v", F.col("v") % C0).alias("value"))
+    found = text.keyed_membership(text.parse_membership(lines), graph.number(g.vertices), by_index=False)
+    return found.crossJoin(F.broadcast(text.communities_named(found))).select("v", "c", "num")
+
+
+def membership_csv(spark, sf_dir):
+    """The CSV that a run writes, read back."""
+    g = stored(spark, sf_dir, "copart")
+    path = f"{shared_dir(spark)}/membership-{uuid.uuid4().hex}"
+    text.write_membership(_warm(g.vertices), path)
+    return spark.read.schema("v long, c long").csv(path)
 
 
 def community_spans(spark, sf_dir):
@@ -131,6 +160,18 @@ def reorder_vertices(spark, sf_dir):
     return community.reorder(vertices, warm)
 
 
+def reorder_edges(spark, sf_dir):
+    """The graph under the ids of reorder_vertices, each entry with the new communities of its ends."""
+    edges, vertices, warm = _copart(spark, sf_dir)
+    return community.reordered(edges, vertices, warm)[0]
+
+
+def reorder_graph(spark, sf_dir):
+    """Degree and community of every vertex under the new ids."""
+    edges, vertices, warm = _copart(spark, sf_dir)
+    return community.reordered(edges, vertices, warm)[1]
+
+
 def pack_communities(spark, sf_dir):
     """Workers that hold three of the largest communities at most."""
     laid_out = community_spans(spark, sf_dir)
@@ -139,7 +180,7 @@ def pack_communities(spark, sf_dir):
 
 
 def delta_sample(spark, sf_dir):
-    return community.sample(graph.degrees(tables.copart(spark, sf_dir)), 10, 7)
+    return community.sample(stored(spark, sf_dir, "copart").vertices, 10, 7)
 
 
 def best_move(spark, sf_dir):
@@ -147,21 +188,25 @@ def best_move(spark, sf_dir):
 
 
 def best_move_delta(spark, sf_dir):
-    edges = tables.part_supp(spark, sf_dir)
-    vertices = graph.degrees(edges)
-    return move.best_move(edges, vertices, _warm(vertices), delta=vertices.where("v % 10 = 3"))
+    g = stored(spark, sf_dir, "part_supp")
+    return move.best_move(g.edges, g.vertices, _warm(g.vertices), delta=g.vertices.where("v % 10 = 3"))
 
 
 def best_move_directed(spark, sf_dir):
-    edges = tables.user_next(spark, sf_dir).select("src", "dst")
-    vertices = graph.degrees(edges)
-    return move.best_move(edges, vertices, community.singletons(vertices))
+    g = stored(spark, sf_dir, "user_next")
+    return move.best_move(g.edges, g.vertices, community.singletons(g.vertices))
+
+
+def strict_scan_move(spark, sf_dir):
+    """Candidates compared in the order of the entries, which is that of the events."""
+    g = stored(spark, sf_dir, "user_next")
+    return move.best_move_in_order(g.edges.select("src", "dst", F.col("event_id").alias("pos")), g.vertices, _warm(g.vertices))
 
 
 def refine_move(spark, sf_dir):
-    edges = tables.user_next(spark, sf_dir).where("event_id % 40 = 0").select("src", "dst")
-    vertices = graph.degrees(edges)
-    return move.best_move(edges, vertices, _warm(vertices), refine=True)
+    """Bipartite, and each vertex starts with the ones of its id modulo C0: many have no neighbour in their community."""
+    g = stored(spark, sf_dir, "part_supp")
+    return move.best_move(g.edges, g.vertices, _warm(g.vertices), refine=True)
 
 
 def apply_moves(spark, sf_dir):
@@ -219,9 +264,9 @@ def flatten_membership(spark, sf_dir):
 
 def _updates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Each event an update between its user and the next; errors delete. Vertex v belongs to v mod OWNERS, community c to c mod OWNERS."""
-    edges = tables.user_next(spark, sf_dir)
-    updates = edges.select(F.col("event_id").alias("update_idx"), F.when(F.col("event_type") == "error", incremental.DELETE).otherwise(incremental.INSERT).alias("op"), "src", "dst")
-    vertices = graph.degrees(edges)
+    g = stored(spark, sf_dir, "user_next")
+    updates = g.edges.select(F.col("event_id").alias("update_idx"), F.when(F.col("event_type") == "error", incremental.DELETE).otherwise(incremental.INSERT).alias("op"), "src", "dst")
+    vertices = g.vertices
     owners = vertices.select("v", (F.col("v") % OWNERS).alias("owner"))
     warm = _warm(vertices)
     return updates, warm, owners, warm.select("c", (F.col("c") % OWNERS).alias("owner")).distinct()
@@ -249,25 +294,34 @@ def update_routing(spark, sf_dir):
 
 def apply_updates(spark, sf_dir):
     updates = _updates(spark, sf_dir)[0]
-    return incremental.apply_updates(tables.copart(spark, sf_dir), updates).groupBy("src", "dst").agg(F.count("*").alias("multiplicity"))
+    return incremental.apply_updates(stored(spark, sf_dir, "copart").edges, updates).groupBy("src", "dst").agg(F.count("*").alias("multiplicity"))
 
 
 def local_move_rounds(spark, sf_dir):
-    g = graph.Graph.from_edges(tables.planted(spark))
-    return local_move(g.edges, g.vertices, community.singletons(g.vertices), rounds=2)[0]
+    """Rounds of local moving from singletons until nothing moves or quality falls."""
+    g = stored(spark, sf_dir, "user_next")
+    return local_move(g.edges, g.vertices, community.singletons(g.vertices))[0]
+
+
+def incremental_move(spark, sf_dir):
+    """The updates are applied to the co-purchase graph, and the vertices that they touch are moved once more."""
+    edges, vertices, warm = _copart(spark, sf_dir)
+    found, _ = move_affected(edges, warm, _updates(spark, sf_dir)[0], rounds=1, sub_rounds=2, keep_best=False)
+    return found
 
 
 def detect_communities(spark, sf_dir):
-    return detect(graph.Graph.from_edges(tables.copart(spark, sf_dir)), rounds=1, levels=2, sub_rounds=4)
+    return detect(stored(spark, sf_dir, "copart"))
 
 
 def synth_updates(spark, sf_dir):
-    return synth(spark, 150, 1000, epoch=1, share=1000)
+    """Insertions at a tenth of the vertices of the users' graph."""
+    n = stored(spark, sf_dir, "user_next").vertices.count()
+    return synth(spark, n, 1000, epoch=1, share=1000)
 
 
 def stream_affected(spark, sf_dir):
     """affected_vertices and affected_communities once more, from a file stream of the same updates: (kind, owner, id)."""
-    from commweave.functions.storage import Snapshot, shared_dir
     from commweave.streaming.affected import stream_affected as start
 
     updates, warm, owners, community_owners = _updates(spark, sf_dir)
@@ -288,10 +342,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         edge_scan, dense_ids, csr_offsets, singleton_membership, membership_check, trace_parse, degree, total_degree, community_totals, community_sizes,
-        community_count, neighbor_communities, neighbor_weights, sparse_neighbor_map, external_edges, range_partition, community_spans, reorder_vertices,
-        pack_communities, delta_sample, best_move, best_move_delta, best_move_directed, refine_move, apply_moves, merged_totals, move_count, modularity_edge,
+        community_count, neighbor_communities, neighbor_weights, sparse_neighbor_map, sparse_community_map, external_edges, range_partition, community_spans, reorder_vertices, reorder_edges, reorder_graph, adjacency, membership_by_id, membership_csv,
+        pack_communities, delta_sample, best_move, best_move_delta, best_move_directed, strict_scan_move, refine_move, apply_moves, merged_totals, move_count, modularity_edge,
         modularity_newman, quality_report, dense_communities, contract_edges, contract_degree, contract_weighted, flatten_membership, affected_vertices,
-        affected_communities, candidate_communities, remote_notifications, update_routing, apply_updates, local_move_rounds, detect_communities, synth_updates,
+        affected_communities, candidate_communities, remote_notifications, update_routing, apply_updates, local_move_rounds, incremental_move, detect_communities, synth_updates,
         stream_affected,
     )
 }

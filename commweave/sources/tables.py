@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commweave.functions.order import running_before
+from commweave.functions.storage import Snapshot
+
 #: Added to supplier and part ids so that they don't fall together with the other side's.
 OFFSET = 1_000_000
 
@@ -42,10 +45,14 @@ def order_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event's user and the next event's user, directed, with loops and repeats; event_id and event_type ride along."""
-    order = Window.orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").alias("src"), F.lead("user_id").over(order).alias("dst"))
-    return rows.where("dst is not null").select("src", "dst", "event_id", "event_type")
+    """Each event's user and the next event's user, directed, with loops and repeats; event_id and event_type ride along.
+
+    Events are numbered by ranges of time and meet the one numbered next, so no task orders all of them.
+    """
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "event_type", "user_id")
+    placed = Snapshot(running_before(events, [F.col("ts"), F.col("event_id")], name="place")).df
+    following = placed.select((F.col("place") - 1).alias("place"), F.col("user_id").alias("dst"))
+    return placed.join(following, "place").where("dst is not null").select(F.col("user_id").alias("src"), "dst", "event_id", "event_type")
 
 
 def planted(spark: SparkSession, blocks: int = 20, size: int = 20, inside: float = 0.3, outside: float = 0.005, seed: int = 1) -> DataFrame:

@@ -63,15 +63,33 @@ def membership_faults(parsed: DataFrame, n: int | Column) -> DataFrame:
     return rows.crossJoin(counts).selectExpr("stack(4, 'malformed', malformed, 'out_of_range', out_of_range, 'duplicate', duplicate, 'missing', coalesce(missing, 0)) as (kind, n)")
 
 
-def read_membership(spark: SparkSession, path: str, n: int) -> DataFrame:
+def communities_named(membership: DataFrame) -> DataFrame:
+    """One row (num): one more than the largest community, which is how many there can be."""
+    return membership.agg((F.coalesce(F.max("c"), F.lit(-1)) + 1).alias("num"))
+
+
+def keyed_membership(parsed: DataFrame, ids: DataFrame, by_index: bool = True) -> DataFrame:
+    """(v, c) by dense id: of rows (idx, c) whose idx is a dense id or (by_index=False) an original id of ``ids`` (orig, v)."""
+    if by_index:
+        return parsed.select(F.col("idx").alias("v"), "c")
+    return parsed.join(ids, F.col("idx") == F.col("orig")).select("v", "c")
+
+
+def read_membership(spark: SparkSession, path: str, n: int, ids: DataFrame | None = None) -> DataFrame:
     """(v, c) for the n vertices 0..n-1 from lines ``idx comm`` or ``comm``; FormatError for any fault.
 
+    ids (orig, v): lines name vertices by original id instead of dense index, all of them.
+
     A bare ``comm`` belongs to the running vertex, which moves on when a line names it; a file with bare lines is read
     in order by one task.
     """
     lines = spark.read.text(path)
     data = lines.where((F.col("value") != "") & ~F.col("value").startswith("#"))
-    if data.where(F.size(_tokens(F.col("value"))) == 1).isEmpty():
+    if ids is not None:
+        # Ids that are no vertex's are out of range, as an index beyond the last one is.
+        parsed = parse_membership(lines).join(ids, F.col("idx") == F.col("orig"), "left")
+        parsed = parsed.select(F.when(F.col("idx").isNotNull(), F.coalesce("v", F.lit(n).cast("long"))).alias("idx"), "c", "bad")
+    elif data.where(F.size(_tokens(F.col("value"))) == 1).isEmpty():
         parsed = parse_membership(lines)
     else:
 

@@ -34,6 +34,16 @@ def test_membership(spark, tmp_path):
     assert get("7\n1 8\n9\n", 3) == [(0, 7), (1, 8), (2, 9)]
 
 
+def test_membership_by_original_id(spark, tmp_path):
+    ids = spark.createDataFrame([(10, 0), (20, 1), (700, 2)], "orig long, v long")
+    read = lambda body: sorted(map(tuple, text.read_membership(spark, write(tmp_path, "m", body), 3, ids).collect()))
+    assert read("700 4\n10 9\n20 9\n") == [(0, 9), (1, 9), (2, 4)]
+    for bad in ("700 4\n10 9\n", "700 4\n10 9\n20 9\n30 1\n", "700 4\n10 9\n20 9\n20 9\n", "700 4\n10 9\n5\n20 9\n"):
+        with pytest.raises(text.FormatError):
+            read(bad)
+    assert text.communities_named(spark.createDataFrame([(0, 9), (1, 4)], "v long, c long")).first()["num"] == 10
+
+
 @pytest.mark.parametrize("body", ["", "# only\n", "0 1\nx y\n1 1\n", "0 1\n5 1\n", "0 1\n0 1\n1 1\n", "0 1\n"])
 def test_bad_memberships(spark, tmp_path, body):
     with pytest.raises(text.FormatError):
