@@ -5,10 +5,14 @@ some partition i. Correlated bits share a partition, and dynamic programming ove
 partitions unequal thresholds (-1: not probed). Fingerprints are probed under all signatures within their partition's
 threshold; candidates are verified by their whole Hamming distance. A bucket yields a spanning forest of its links, so
 a group of any size yields fewer edges than it has members, and no link between different components is lost.
+
+The more fingerprints there are, the fewer and wider partitions pay: their number is what costs least by the estimate.
+A large bucket is cut up by the pigeonhole principle once more, over the bits outside its partition.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -25,9 +29,12 @@ from commweave.llm.graph import connected_components
 from commweave.llm.nearcopies import near_copies
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
-#: Partitions; each has 64 / PARTS bits, so a histogram of a partition's values has 65,536 entries at most.
-PARTS = 4
-#: Rows of a bucket that one comparison block holds; larger buckets are cut into pairs of blocks.
+#: Numbers of partitions that are weighed against each other; each has 64 / parts bits.
+PARTS = (2, 3, 4)
+#: Fingerprints by whose distances candidates are estimated, which changes the work but not the result.
+SAMPLE = 4096
+#: Rows of a bucket that are compared as they are; of larger ones, parts of RADIUS + 1 times 64 / (RADIUS + 1) bits
+#: make keys, and where these have more rows too, pairs of blocks.
 BLOCK = 4096
 #: Relative costs of comparing a pair and of shuffling a signature, for the allocation.
 PAIR_COST, PROBE_COST = 1.0, 400.0
@@ -67,7 +74,7 @@ def _bits(fp: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(fp.astype("<i8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
 
 
-def group_bits(together: np.ndarray, n: int, parts: int = PARTS) -> list[list[int]]:
+def group_bits(together: np.ndarray, n: int, parts: int) -> list[list[int]]:
     """Partitions of equal width: each starts at the free bit most correlated with the others and takes on the free bit most correlated with it."""
     p = np.diag(together) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
@@ -86,17 +93,20 @@ def group_bits(together: np.ndarray, n: int, parts: int = PARTS) -> list[list[in
     return groups
 
 
-def candidate_counts(histogram: np.ndarray, width: int, most: int) -> list[float]:
-    """Pairs within 0..most differing bits of a partition, from the counts of its 2**width values."""
-    f, at = histogram.astype(np.float64), np.arange(1 << width)
-    shells, counts, ball = [f], [], 0.0
-    for t in range(most + 1):
-        if t:
-            near = sum(shells[t - 1][at ^ (1 << b)] for b in range(width))
-            shells.append((near - (width - t + 2) * shells[t - 2]) / t if t > 1 else near)
-        ball = ball + shells[t]
-        counts.append(float(f @ ball))
-    return counts
+def candidate_counts(sample: np.ndarray, bits: list[int], n: int, most: int) -> list[float]:
+    """Pairs of n fingerprints within 0..most differing bits of a partition, estimated from a sample's pairs.
+
+    Not below what evenly spread values give: a sample can't show what happens once in 2**32 pairs.
+    """
+    mask = np.uint64(sum(1 << b for b in bits))
+    counts = np.zeros(len(bits) + 1)
+    own = sample.view(np.uint64) & mask
+    for a in range(0, len(own), 512):
+        counts += np.bincount(np.bitwise_count(own[a : a + 512, None] ^ own[None]).ravel(), minlength=len(bits) + 1)[: len(bits) + 1]
+    counts[0] -= len(own)
+    share = np.cumsum(counts) / max(len(own) * (len(own) - 1), 1)
+    even = np.cumsum([math.comb(len(bits), t) for t in range(most + 1)]) / 2.0 ** len(bits)
+    return [float(n) * n * max(share[t], even[t]) for t in range(most + 1)]
 
 
 def allocate(costs: list[list[float]], radius: int = RADIUS) -> list[int]:
@@ -121,14 +131,18 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted rows (key, fp, own) to the links of a spanning forest of each key's fingerprints."""
     kept: list[pd.DataFrame] = []
     for b in batches:
-        whole = pd.concat([*kept, b], ignore_index=True) if kept else b
-        last = whole["key"].iloc[-1]
-        cut_at = int(np.searchsorted(whole["key"].to_numpy(), last)) if len(whole) else 0
-        if cut_at:
-            yield _links(whole.iloc[:cut_at])
-        kept = [whole.iloc[cut_at:]]
-    if kept and len(kept[0]):
-        yield _links(kept[0])
+        if not len(b):
+            continue
+        key = b["key"].to_numpy()
+        cut_at = int(np.searchsorted(key, key[-1]))
+        if kept and (cut_at or kept[0]["key"].iloc[0] != key[-1]):
+            yield _links(pd.concat([*kept, b.iloc[:cut_at]], ignore_index=True))
+            kept = []
+        elif cut_at:
+            yield _links(b.iloc[:cut_at])
+        kept.append(b.iloc[cut_at:])
+    if kept:
+        yield _links(pd.concat(kept, ignore_index=True))
 
 
 def _links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -160,38 +174,58 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": np.array(src, np.uint64).view(np.int64), "dst": np.array(dst, np.uint64).view(np.int64)})
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def plan(together: np.ndarray, sample: np.ndarray, n: int, parts=PARTS) -> tuple[list[list[int]], list[int]]:
+    """Partitions and thresholds of least estimated cost."""
+    best = None
+    for k in parts:
+        groups, costs = group_bits(together, n, k), []
+        for bits in groups:
+            width = len(bits)
+            pairs, probes = candidate_counts(sample, bits, n, RADIUS // 2), np.cumsum([1, width, width * (width - 1) // 2])
+            costs.append([0.0] + [PAIR_COST * c + PROBE_COST * n * p for c, p in zip(pairs, probes)])
+        thresholds = allocate(costs)
+        cost = sum(c[t + 1] for c, t in zip(costs, thresholds))
+        if best is None or cost < best[0]:
+            best = (cost, groups, thresholds)
+    return best[1], best[2]
+
+
+def links(distinct: DataFrame, parts=PARTS, block: int = BLOCK) -> DataFrame:
     """Distinct fingerprints (fp) to links (src, dst) that join exactly those within RADIUS, transitively."""
     together = np.zeros(BITS * BITS)
     for r in distinct.select("fp").mapInPandas(_co_occurrence, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
         together[r["k"]] = r["n"]
     n = distinct.count()
-    groups = group_bits(together.reshape(BITS, BITS), n)
-    width = BITS // PARTS
-    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _signature(g).alias("sig")) for i, g in enumerate(groups)]))
-    signed = distinct.select("fp", parts.alias("s")).select("fp", "s.part", "s.sig")
-    histograms = np.zeros((PARTS, 1 << width))
-    for r in signed.groupBy("part", "sig").count().toLocalIterator():  # PARTS * 65,536 rows at most
-        histograms[r["part"], r["sig"]] = r["count"]
-    costs = []
-    for i in range(PARTS):
-        pairs, probes = candidate_counts(histograms[i], width, RADIUS // 2), np.cumsum([1, width, width * (width - 1) // 2])
-        costs.append([0.0] + [PAIR_COST * c + PROBE_COST * n * p for c, p in zip(pairs, probes)])
-    thresholds = allocate(costs)
-    masks = [[m for t in range(limit + 1) for m in (sum(1 << b for b in c) for c in combinations(range(width), t))] for limit in thresholds]
+    sample = np.array([r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
+    groups, thresholds = plan(together.reshape(BITS, BITS), sample, n, parts)
+    signed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _signature(g).alias("sig")) for i, g in enumerate(groups)])).alias("s")).select("fp", "s.part", "s.sig")
+    masks = [[m for t in range(limit + 1) for m in (sum(1 << b for b in c) for c in combinations(range(len(g)), t))] for limit, g in zip(thresholds, groups)]
     flips = distinct.sparkSession.createDataFrame([(i, m) for i, of in enumerate(masks) for m in of], "part int, mask long")  # some hundred rows by PARTS and RADIUS
-    probed = signed.join(F.broadcast(flips), "part").select(F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("sig").bitwiseXOR(F.col("mask"))).alias("bucket"), "fp", (F.col("mask") == 0).alias("own"))
-    large = probed.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    # There are PARTS * 65,536 buckets at most.
-    cut_up = probed.join(F.broadcast(large), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    paired = cut_up.select("bucket", "fp", "own", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    key = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))  # buckets that fall together are only compared in vain
+    probed = signed.join(F.broadcast(flips), "part").select("part", F.xxhash64("part", F.col("sig").bitwiseXOR(F.col("mask"))).alias("key"), "fp", (F.col("mask") == 0).alias("own"))
+    probed = _large(probed, block)
+    # Two fingerprints within RADIUS agree in one of RADIUS + 1 parts of whatever bits are left.
+    finer = F.lit(None).cast("array<bigint>")
+    for i, g in enumerate(groups):
+        rest = [b for b in range(BITS) if b not in g]
+        pieces = [rest[j :: RADIUS + 1] for j in range(RADIUS + 1)]
+        finer = F.when(F.col("part") == i, F.array(*[F.xxhash64("key", F.lit(j), _signature(piece)) for j, piece in enumerate(pieces)])).otherwise(finer)
+    keys = F.explode(F.when(F.col("size") > block, finer).otherwise(F.array("key")))
+    sized = _large(probed.select(keys.alias("key"), "fp", "own"), block)
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    paired = sized.select("key", "fp", "own", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    key = F.when((F.col("mine") == 0) & (F.col("other") == 0), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))  # keys that fall together are only compared in vain
     keyed = paired.select(key.alias("key"), "fp", "own")
     found = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_forest, "src long, dst long")
     return found.distinct()
 
 
+def _large(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` plus the number of rows with their key where it is beyond ``block``, else 1."""
+    large = rows.groupBy("key").count().where(F.col("count") > block).withColumnRenamed("count", "size")
+    return rows.join(large, "key", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id) of every row; other columns of ``docs`` are left out.
 
@@ -207,13 +241,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return marked.join(named.select("fp", "component").join(smallest, "component").drop("component"), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies (nearcopies: five words, similarity 0.8) stays, the one with the smallest doc_id; all columns are kept.
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of near copies (nearcopies: five words, similarity 0.8) stays; all columns are kept.
 
-    Of repeated rows with that doc_id one stays. Rows with a null doc_id can't be told apart and all stay.
+    It is the one with the smallest id that isn't null, of several the one whose text has the smallest hash. Of rows
+    alike in id and text one stays, that with the smallest hash of all columns. Only the ids and text hashes of what
+    goes are joined to the documents.
     """
-    keep = near_copies(docs).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    keep = cut(keep)
-    once = docs.join(keep.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(keep.where("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull()))
+    marked = cut(near_copies(docs, doc_id, text))
+    gone = marked.where(~F.col("keep")).select(F.col("doc_id").alias("_i"), F.col("body").alias("_b")).distinct()
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text).cast("binary")).alias("_body"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_body") == F.col("_b"))
+    left = held.join(gone, same, "left_anti")
+    twice = marked.where("keep").groupBy(F.col("doc_id").alias("_i"), F.col("body").alias("_b")).count().where("count > 1").select("_i", "_b")
+    if twice.isEmpty():
+        return left.select("_doc.*")
+    first = left.join(twice, same, "left_semi").groupBy("_id", "_body").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc"))
+    return left.join(twice, same, "left_anti").select("_doc").unionByName(first.select("_doc")).select("_doc.*")

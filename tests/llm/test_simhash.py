@@ -46,15 +46,15 @@ def test_fingerprints_and_components_match_brute_force(docs_of, prose):
     assert got[200] == got[201] == got[202] == (0, got[200][1])
 
 
-def test_large_bucket_is_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+@pytest.mark.parametrize(("parts", "block"), [((4,), 4), ((4,), 40), ((3,), 16), ((2,), 16)])
+def test_partitions_and_large_buckets_find_all_links(spark, parts, block):
     r = random.Random(2)
     prints = [r.getrandbits(64) for _ in range(20)]
     for _ in range(150):
         prints.append(r.choice(prints) ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 4))))
     prints = sorted(set(prints))
     signed = [p - 2**64 if p >> 63 else p for p in prints]
-    links = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))
+    links = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), parts, block)
     assert links.count() < 20 * len(prints)
     labels = {x["node"] % 2**64: x["component"] % 2**64 for x in connected_components(links).collect()}
     expected = brute_components([(p, p) for p in prints])
@@ -67,7 +67,7 @@ def test_repeated_rows_null_ids_and_empty(docs_of):
     got = sorted(((x["doc_id"], x["component_id"]) for x in simhash.near_duplicates(docs_of(rows)).collect()), key=str)
     assert got == sorted([(5, 5), (5, 5), (9, 5), (None, 5), (None, None)], key=str)
     kept = simhash.deduplicate(docs_of(rows))
-    assert sorted((x["doc_id"] for x in kept.collect()), key=str) == [5, None, None]
+    assert sorted((x["doc_id"] for x in kept.collect()), key=str) == [5, None]
     assert simhash.near_duplicates(docs_of([])).count() == 0
     assert simhash.deduplicate(docs_of([])).columns == docs_of([]).columns
 
@@ -81,12 +81,21 @@ def test_allocation_is_optimal_and_uneven():
     assert sum(t + 1 for t in chosen) == 5 and sum(c[t + 1] for c, t in zip(costs, chosen)) == best
 
 
-def test_candidate_counts_match_brute_force():
+def test_candidate_counts_are_the_samples():
     rng = np.random.default_rng(0)
-    values = rng.integers(0, 64, 200)
-    histogram = np.bincount(values, minlength=64)
+    values = rng.integers(0, 64, 200).astype(np.int64)
     near = np.bitwise_count(values[:, None] ^ values[None])
-    assert simhash.candidate_counts(histogram, 6, 2) == [pytest.approx((near <= t).sum()) for t in range(3)]
+    got = simhash.candidate_counts(values, list(range(6)), 400, 2)
+    even = [400 * 400 * n / 64 for n in (1, 7, 22)]
+    assert got == [pytest.approx(max(e, ((near <= t).sum() - 200) * 400 * 400 / (200 * 199))) for t, e in zip(range(3), even)]
+
+
+def test_wider_partitions_for_more_fingerprints():
+    rng = np.random.default_rng(1)
+    sample = rng.integers(-(2**63), 2**63 - 1, 500)
+    bits = simhash._bits(sample)
+    widths = [max(map(len, simhash.plan(bits.T @ bits * n / 500, sample, n)[0])) for n in (10**5, 10**9, 10**13)]
+    assert widths == [16, 22, 32]
 
 
 def test_components_of_a_long_chain(spark):
