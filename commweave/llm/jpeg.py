@@ -34,7 +34,7 @@ MOST_COLUMNS, INTERVAL = 4095, 4
 #: Blocks that an image may have to be decoded: 64 million samples, half a gigabyte of work space.
 MOST_BLOCKS = 1 << 20
 #: Bytes of payload or files that are encoded or decoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 21
 SAMPLING = ((2, 2), (1, 1), (1, 1))
 #: Bands that one end-of-band run may end.
 MOST_RUN = 32767
@@ -263,11 +263,11 @@ def _ac_refine_words(band: np.ndarray, low: int, fresh: np.ndarray) -> tuple[np.
     """
     level = np.abs(band) >> low
     new, known = level == 1, level > 1
-    count = np.cumsum(new, axis=1, dtype=np.int32)
+    count = np.cumsum(new, axis=1, dtype=np.int8)
     gap = count - new  # new coefficients before
-    zeros = np.cumsum(level == 0, axis=1, dtype=np.int32)
+    zeros = np.cumsum(level == 0, axis=1, dtype=np.int8)
     block, k = np.nonzero(new)
-    at_new, same = zeros[block, k], np.r_[False, block[1:] == block[:-1]]
+    at_new, same = zeros[block, k].astype(np.int64), np.r_[False, block[1:] == block[:-1]]
     before = np.where(same, np.r_[0, at_new[:-1]], 0)  # zeros before the gap
     run = at_new - before
     symbol = (run & 15) << 4 | 1
@@ -277,19 +277,19 @@ def _ac_refine_words(band: np.ndarray, low: int, fresh: np.ndarray) -> tuple[np.
     long = run >> 4
     more = np.repeat(np.arange(len(run)), long)
     sub = np.arange(len(more)) - np.repeat(np.cumsum(long) - long, long)
-    total = count[:, -1]
+    total = count[:, -1].astype(np.int64)
     last = np.full(len(band), -1)
     last[block] = k
     starts, runs = _runs_of_ends(last < band.shape[1] - 1, last < 0, fresh)
     extra = _bits_of(runs) - 1
     b, p = np.nonzero(known)
-    g = gap[b, p]
+    g = gap[b, p].astype(np.int64)
     first = np.zeros(len(band) + 1, np.int64)
     first[1:] = np.cumsum(total)
     inside = g < total[b]
     its = np.minimum(first[b] + g, max(len(before) - 1, 0))
     passed = np.where(inside, (zeros[b, p] - (before[its] if len(before) else 0)) >> 4, 0)
-    keys = np.r_[key(block, gap[block, k], long, 0), key(block[more], gap[block, k][more], sub, 0), key(starts, total[starts], 0, 0), key(b, g, passed, 1 + p)]
+    keys = np.r_[key(block, gap[block, k].astype(np.int64), long, 0), key(block[more], gap[block, k][more], sub, 0), key(starts, total[starts], 0, 0), key(b, g, passed, 1 + p)]
     order = np.argsort(keys, kind="stable")
     zrl = np.full(len(more), 0xF0)
     words = np.r_[word, REFINE_CODE.code[zrl], REFINE_CODE.code[extra << 4] << extra | (runs - (1 << extra)), level[b, p] & 1]
@@ -298,10 +298,14 @@ def _ac_refine_words(band: np.ndarray, low: int, fresh: np.ndarray) -> tuple[np.
 
 
 def script(parts: int) -> list[tuple[tuple[int, ...], int, int, int, int]]:
-    """(components, first and last coefficient, high and low bit) of the scans: DC and bands without their last bit, then all last bits."""
+    """(components, first and last coefficient, high and low bit) of the scans.
+
+    DC without its last bit; luminance in two bands without their last bit; chroma in two whole bands; then the last bits
+    of DC and luminance.
+    """
     every = tuple(range(parts))
-    bands = [((i,), a, z, 0, 1) for i in every for a, z in (((1, 5), (6, 63)) if not i else ((1, 63),))]
-    return [(every, 0, 0, 0, 1), *bands, (every, 0, 0, 1, 0), *(((i,), 1, 63, 1, 0) for i in every)]
+    chroma = [((i,), a, z, 0, 0) for i in every[1:] for a, z in ((1, 9), (10, 63))]
+    return [(every, 0, 0, 0, 1), ((0,), 1, 5, 0, 1), ((0,), 6, 63, 0, 1), *chroma, (every, 0, 0, 1, 0), ((0,), 1, 63, 1, 0)]
 
 
 def encode_many(images: list[Image]) -> list[bytes]:
@@ -309,7 +313,7 @@ def encode_many(images: list[Image]) -> list[bytes]:
     if any(im.geometry.sampling != images[0].geometry.sampling for im in images):
         raise ValueError("images of one call have the same sampling factors")
     parts = len(images[0].geometry.sampling)
-    coef = np.concatenate([im.coef for im in images]).astype(np.int64)
+    coef = np.concatenate([im.coef for im in images])
     base = np.cumsum([0, *(len(im.coef) for im in images)]).tolist()
     out = []
     for im in images:
@@ -445,7 +449,7 @@ def _parse(file: int, data: bytes, most_blocks: int) -> tuple[Image, list[_Scan]
 class _Lanes:
     """The restart intervals of several scans as lanes that are read in lockstep.
 
-    word: the 32 bits from each byte on. pos, stop: next bit and end of a lane; first, count: its blocks among ``rows``;
+    word: the 64 bits from each byte on. pos, stop: next bit and end of a lane; first, count: its blocks among ``rows``;
     bad: files whose data are malformed.
     """
 
@@ -465,38 +469,34 @@ class _Lanes:
         begins = np.sort(np.r_[scan_at, restart + 2])
         scan_of = np.searchsorted(scan_at, begins, side="right") - 1
         # scans without data share a beginning with the next one and are told apart by their number
-        lanes_of = np.bincount(scan_of, minlength=len(scans))
         clean = raw[keep]
         starts = new_at[np.minimum(begins, len(raw) - 1)]
         stops = np.r_[starts[1:], len(clean)]
-        good, rows, first, count, at, pos, stop, lane_scan = [], [], [], [], 0, [], [], []
-        lane_at = np.cumsum(lanes_of) - lanes_of
-        for i, s in enumerate(scans):
-            order = images[s.file].geometry.order(s.chosen)
-            step = s.interval or len(order)
-            wanted = -(-len(order) // step)
-            if not len(s.data) or lanes_of[i] != wanted:
-                bad.add(s.file)
-                continue
-            wide = order.shape[1]
-            begin = np.arange(wanted) * step
-            first.append(at + begin * wide)
-            count.append((np.minimum(begin + step, len(order)) - begin) * wide)
-            rows.append(order.reshape(-1) + base[s.file])
-            pos.append(starts[lane_at[i] : lane_at[i] + wanted] * 8)
-            stop.append(stops[lane_at[i] : lane_at[i] + wanted] * 8)
-            lane_scan.append(np.full(wanted, len(good)))
-            at += len(order) * wide
-            good.append(s)
-        self.scans, self.bad = good, bad
-        if not good:
+        orders = [images[s.file].geometry.order(s.chosen) for s in scans]
+        units, wide = np.array([len(o) for o in orders]), np.array([o.shape[1] for o in orders])
+        step = np.array([s.interval for s in scans])
+        step = np.where(step > 0, step, units)
+        wanted = -(-units // step)
+        fine = (np.bincount(scan_of, minlength=len(scans)) == wanted) & (sizes > 0)
+        bad.update(s.file for s, x in zip(scans, fine.tolist()) if not x)
+        self.scans, self.bad = [s for s, x in zip(scans, fine.tolist()) if x], bad
+        if not self.scans:
             return
-        self.rows, self.first, self.count, self.pos, self.stop, self.scan = (np.concatenate(x) for x in (rows, first, count, pos, stop, lane_scan))
+        mine = fine[scan_of]
+        self.pos, self.stop = starts[mine] * 8, stops[mine] * 8
+        orders, units, wide, step, wanted = [o for o, x in zip(orders, fine.tolist()) if x], units[fine], wide[fine], step[fine], wanted[fine]
+        blocks = units * wide
+        self.rows = np.concatenate([o.reshape(-1) for o in orders]) + np.repeat([base[s.file] for s in self.scans], blocks)
+        self.scan = np.repeat(np.arange(len(wanted)), wanted)
+        begin = (np.arange(len(self.scan)) - (np.cumsum(wanted) - wanted)[self.scan]) * step[self.scan]
+        self.first = (np.cumsum(blocks) - blocks)[self.scan] + begin * wide[self.scan]
+        self.count = (np.minimum(begin + step[self.scan], units[self.scan]) - begin) * wide[self.scan]
+        good = self.scans
         self.file = np.array([s.file for s in good])[self.scan]
         self.start, self.end, self.low = (np.array([getattr(s, x) for s in good])[self.scan] for x in ("start", "end", "low"))
-        wide = np.r_[clean, np.zeros(8, np.uint8)].astype(np.uint32)
-        self.word = wide[:-3] << np.uint32(24) | wide[1:-2] << np.uint32(16) | wide[2:-1] << np.uint32(8) | wide[3:]
-        self.bits_end = len(self.word) * 8 - 40
+        padded = clean.tobytes() + bytes(16)
+        self.word = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,)).astype(np.uint64)
+        self.bits_end = len(clean) * 8 + 32
         tables: dict[int, int] = {}
         stack, ids = [], []
         for s in good:
@@ -508,15 +508,29 @@ class _Lanes:
         self.tables = np.concatenate(stack) if stack else np.zeros(0, np.int32)
         self.table = ids
 
-    def peek(self, pos: np.ndarray) -> np.ndarray:
-        """The next 16 bits of each lane."""
+    def window(self, pos: np.ndarray) -> np.ndarray:
+        """The next bits of each lane, 57 at least, highest first."""
         pos = np.minimum(pos, self.bits_end)
-        return (self.word[pos >> 3] >> (16 - (pos & 7)).astype(np.uint32)).astype(np.int64) & 0xFFFF
+        return self.word[pos >> 3] << (pos & 7).astype(np.uint64)
+
+    def symbol(self, table: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Table entries (symbol << 5 | length) of the next codes, and what follows them."""
+        window = self.window(pos)
+        entry = self.tables[table + (window >> np.uint64(48)).astype(np.int64)].astype(np.int64)
+        return entry, window << (entry & 31).astype(np.uint64)
+
+    def bit(self, pos: np.ndarray) -> np.ndarray:
+        return (self.window(pos) >> np.uint64(63)).astype(np.int64)
 
     def fail(self, lanes: np.ndarray) -> None:
         self.bad.update(np.unique(self.file[lanes]).tolist())
 
 
+def _take(window: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The first n bits of windows, n < 64."""
+    return (window >> np.uint64(1) >> (63 - n).astype(np.uint64)).astype(np.int64)
+
+
 def _extend(v: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Values of n bits as the format codes them; 0 bits are 0."""
     return np.where((v >> np.maximum(n - 1, 0)) & 1, v, v - (1 << n) + 1)
@@ -529,14 +543,14 @@ def _dc_first(lanes: _Lanes, coef: np.ndarray, unit: tuple[int, ...]) -> None:
     for k in range(int(lanes.count.max())):
         live = live[lanes.count[live] > k]
         c, pos = unit[k % len(unit)], lanes.pos[live]
-        entry = lanes.tables[tables[live, c] + lanes.peek(pos)]
+        entry, rest = lanes.symbol(tables[live, c], pos)
         n = entry >> 5
         wrong = (entry == 0) | (n > 15)
         if wrong.any():
             lanes.fail(live[wrong])
-            live, pos, entry, n = (x[~wrong] for x in (live, pos, entry, n))
+            live, pos, entry, n, rest = (x[~wrong] for x in (live, pos, entry, n, rest))
         pos = pos + (entry & 31)
-        before[live, c] += _extend(lanes.peek(pos) >> (16 - n), n)
+        before[live, c] += _extend(_take(rest, n), n)
         coef[lanes.rows[lanes.first[live] + k], 0] = np.clip(before[live, c] << lanes.low[live], -32768, 32767)
         lanes.pos[live] = pos + n
 
@@ -546,15 +560,14 @@ def _ac_first(lanes: _Lanes, coef: np.ndarray) -> None:
     every = (np.arange(len(lanes.pos)), lanes.pos.copy(), lanes.first.copy(), lanes.first + lanes.count, lanes.start.copy(), lanes.start, lanes.end, lanes.low, table)
     lane, pos, at, stop, k, start, end, low, table = every
     while len(lane):
-        entry = lanes.tables[table + lanes.peek(pos)].astype(np.int64)
-        pos = pos + (entry & 31)
+        entry, rest = lanes.symbol(table, pos)
         symbol = entry >> 5
         skip, n = symbol >> 4, symbol & 15
         is_value = n > 0
         is_end = ~is_value & (skip < 15)
         take = np.where(is_value, n, np.where(is_end, skip, 0))
-        extra = lanes.peek(pos) >> (16 - take)
-        pos = pos + take
+        extra = _take(rest, take)
+        pos = pos + (entry & 31) + take
         k = k + skip
         wrong = (entry == 0) | (k > end) & ~is_end
         put = is_value & ~wrong
@@ -589,15 +602,14 @@ def _ac_refine(lanes: _Lanes, coef: np.ndarray) -> None:
     k, passed, run, unit = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64), np.int64(1) << lanes.low
     while len(lane):
         in_run = run > 0
-        entry = lanes.tables[table + lanes.peek(pos)].astype(np.int64)
+        entry, rest = lanes.symbol(table, pos)
         entry = np.where(in_run, 1 << 5, entry)  # stands for the end of one more band
-        pos = pos + np.where(in_run, 0, entry & 31)
         symbol = np.where(in_run, 0, entry >> 5)
         skip, n = symbol >> 4, symbol & 15
         is_end = (n == 0) & (skip < 15)
         take = np.where(n > 0, 1, np.where(is_end, skip, 0))
-        extra = lanes.peek(pos) >> (16 - take)
-        pos = pos + take
+        extra = _take(rest, take)
+        pos = pos + np.where(in_run, 0, (entry & 31) + take)
         run = np.where(in_run, run - 1, np.where(is_end, (1 << np.minimum(skip, 14)) + extra - 1, 0))
         target = passed + skip
         wrong = (entry == 0) | (n > 1) | ~is_end & (target >= zeros[at])
@@ -627,7 +639,7 @@ def _ac_refine(lanes: _Lanes, coef: np.ndarray) -> None:
         at, nth, bits, pos, unit = (np.concatenate(x) for x in zip(*notes))
         which = np.repeat(np.arange(len(at)), bits)
         step = np.arange(len(which)) - np.repeat(np.cumsum(bits) - bits, bits)
-        bit = lanes.peek(pos[which] + step) >> 15 == 1
+        bit = lanes.bit(pos[which] + step) == 1
         which, step = which[bit], step[bit]
         row, col = rows[at[which]], first + order[at[which], np.minimum(nth[which] + step, width - 1)]
         v, u = coef[row, col], unit[which]
@@ -637,7 +649,7 @@ def _ac_refine(lanes: _Lanes, coef: np.ndarray) -> None:
 def decode_many(files: list[bytes | None], most_blocks: int = MOST_BLOCKS) -> list[Image | None]:
     """All scans of progressive files, accumulated into coefficient arrays; None for null and for what isn't such a file.
 
-    Scans with the same place in their files are decoded together.
+    Scans that wait for no other, of one or of several files, are decoded together.
     """
     images: list[Image | None] = [None] * len(files)
     scans: list[list[_Scan]] = []
@@ -652,10 +664,13 @@ def decode_many(files: list[bytes | None], most_blocks: int = MOST_BLOCKS) -> li
             images[i] = None
             continue
         base[i], total = total, total + images[i].geometry.blocks
-        for j, s in enumerate(found):
-            if j == len(scans):
+        done: list[tuple[_Scan, int]] = []
+        for s in found:  # after the last scan of the same coefficients
+            turn = max((t + 1 for x, t in done if x.start <= s.end and s.start <= x.end and set(x.chosen) & set(s.chosen)), default=0)
+            done.append((s, turn))
+            if turn == len(scans):
                 scans.append([])
-            scans[j].append(s)
+            scans[turn].append(s)
     coef = np.zeros((total, 64), np.int32)
     for together in scans:
         kinds: dict = {}
@@ -672,7 +687,7 @@ def decode_many(files: list[bytes | None], most_blocks: int = MOST_BLOCKS) -> li
             elif kind[1]:
                 owner = np.repeat(np.arange(len(lanes.pos)), lanes.count)
                 step = np.arange(len(owner)) - np.repeat(np.cumsum(lanes.count) - lanes.count, lanes.count)
-                coef[lanes.rows, 0] |= ((lanes.peek(lanes.pos[owner] + step) >> 15) << lanes.low[owner]).astype(np.int32)
+                coef[lanes.rows, 0] |= (lanes.bit(lanes.pos[owner] + step) << lanes.low[owner]).astype(np.int32)
                 lanes.pos = lanes.pos + lanes.count
             else:
                 _dc_first(lanes, coef, kind[0])
@@ -694,18 +709,26 @@ def decode(data: bytes, most_blocks: int = MOST_BLOCKS) -> Image:
     return found
 
 
-def to_rgb(image: Image) -> np.ndarray:
-    """height x width x 3 bytes: dequantised, inverse-transformed, chroma repeated to full resolution. One component gives grey."""
+def samples_of(coef: np.ndarray) -> np.ndarray:
+    """Blocks of dequantised coefficients to blocks of samples."""
+    samples = coef.astype(np.float64) @ BASIS
+    samples += (128 << SCALE) + (1 << (SCALE - 1))
+    samples *= 1.0 / (1 << SCALE)
+    return np.clip(np.floor(samples, out=samples), 0, 255, out=samples).astype(np.uint8)
+
+
+def to_rgb(image: Image, samples: np.ndarray | None = None) -> np.ndarray:
+    """height x width x 3 bytes: dequantised, inverse-transformed, chroma repeated to full resolution. One component gives grey.
+
+    samples: of all blocks, if they are known already.
+    """
     g = image.geometry
     hm, vm = max(h for h, _ in g.sampling), max(v for _, v in g.sampling)
     planes = []
     for i, (h, v) in enumerate(g.sampling):
         rows, cols = g.shapes[i]
-        samples = (image.part(i).reshape(-1, 64) * image.quant[i]).astype(np.float64) @ BASIS
-        samples += (128 << SCALE) + (1 << (SCALE - 1))
-        samples *= 1.0 / (1 << SCALE)
-        np.clip(np.floor(samples, out=samples), 0, 255, out=samples)
-        plane = samples.astype(np.uint8).reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
+        part = samples_of(image.part(i).reshape(-1, 64) * image.quant[i]) if samples is None else samples[g.starts[i] : g.starts[i + 1]]
+        plane = part.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
         if (h, v) != (hm, vm):
             plane = plane[np.arange(g.height) * v // vm][:, np.arange(g.width) * h // hm]
         planes.append(plane[: g.height, : g.width])
@@ -770,9 +793,11 @@ FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32
 def _features(texts: list[bytes | None]) -> list[tuple]:
     bodies = [t or b"" for t in texts]
     files = store_many([t.ljust(max(UNIT, -(-len(t) // UNIT) * UNIT)) for t in bodies])
-    found = []
-    for text, media, image in zip(bodies, files, decode_many(files, most_blocks=1 << 40)):
-        back, rgb = payload_of(image), to_rgb(image)
+    images = decode_many(files, most_blocks=1 << 40)
+    every, found, at = samples_of(np.concatenate([im.coef for im in images])), [], 0  # quantisation steps are 1
+    for text, media, image in zip(bodies, files, images):
+        back, rgb = payload_of(image), to_rgb(image, every[at : at + len(image.coef)])
+        at += len(image.coef)
         feature = f"{rgb.shape[0]}x{rgb.shape[1]}x3:{zlib.crc32(rgb):08x}:{int(rgb.sum(dtype=np.int64))}"
         found.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
     return found
