@@ -151,3 +151,23 @@ def test_updates(spark):
     assert get(incremental.remote_notifications(r)) == [(0, 1, 1, 1)]
     assert get(incremental.update_routing(r)) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (1, 2)]
     assert get(incremental.apply_updates(frame(spark, [(1, 2), (1, 2), (5, 6)]), updates)) == [(0, 1), (0, 2), (0, 3), (0, 99), (5, 6)]
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_one_task_gives_what_joins_give(spark, weighted):
+    import random
+
+    r = random.Random(5)
+    pairs = [(r.randrange(30) * 7, r.randrange(30) * 7) for _ in range(120)]
+    edges = frame(spark, both(pairs) + [(7, 7), (0, 14), (0, 14), (1000, 0)])
+    if weighted:
+        edges = edges.groupBy("src", "dst").agg(F.sum("src").alias("w")).select("src", "dst", (F.col("w") % 5 + 1).alias("w"))
+        vertices = edges.select(F.col("src").alias("v"), F.col("w").alias("k")).unionByName(edges.select(F.col("dst").alias("v"), F.lit(0).cast("long").alias("k"))).groupBy("v").agg(F.sum("k").alias("k"))
+    else:
+        vertices = graph.degrees(edges)
+    start = vertices.select("v", (F.col("v") % 5).alias("c"))
+    delta = vertices.where("v % 3 = 0").select("v")
+    for more in ({"rounds": 3}, {"rounds": 2, "delta": delta, "sub_rounds": 2, "keep_best": False}, {"rounds": 1, "refine": True}):
+        one, joins = (local_move(edges, vertices, start, one_task=n, **more) for n in (10_000, -1))
+        assert one[1] == joins[1] and sum(one[1]) > 0
+        assert sorted(map(tuple, one[0].collect())) == sorted(map(tuple, joins[0].collect()))

@@ -46,3 +46,12 @@ def test_stored_graphs_follow_their_tables(spark, tmp_path):
     assert stored(spark, str(tmp_path), "copart") is first and first.edges.count() == 6
     write(4)
     assert stored(spark, str(tmp_path), "copart").edges.count() == 12
+
+
+def test_detection_by_joins_equals_its_sql(spark, small):
+    from commweave.plans.detect import detect
+    from commweave.sources.store import stored
+
+    at, db = small
+    found = detect(stored(spark, at, "copart"), one_task=-1)
+    assert sorted(map(tuple, found.select("v", "c").collect())) == sorted(db.sql(ORACLE_SQL["detect_communities"]).fetchall())
