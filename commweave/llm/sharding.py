@@ -1,9 +1,9 @@
 """Sharding by balanced label propagation, with built-in functions only.
 
 Documents with equal texts are linked. Starting from hashed shards, linked documents move towards the shard that holds
-most of their group while that shard's quota lasts; rows of one group and shard are moved together as one counted row,
-so a step touches groups, not documents. Shard sizes are then made exact: what a full shard holds beyond its quota,
-documents without links first, fills the others.
+most of their group while that shard's quota lasts, full shards exchanging what they hold; rows of one group and shard
+are moved together as one counted row, so a step touches groups, not documents. It goes on until nothing moves. Shard
+sizes are then made exact: what a full shard holds beyond its quota, documents without links first, fills the others.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from commweave.llm.common import Cut, cut
 
-SHARDS, STEPS = 24, 10
+#: Shards, and steps after which propagation that still moves something is an error.
+SHARDS, STEPS = 24, 1000
 #: Buckets in which the rows of a shard are numbered: groups, then parts of large groups, then documents without links.
 GROUP_BUCKETS, PART_BUCKETS, SINGLE_BUCKETS = 32, 32, 1024
 
@@ -22,12 +23,47 @@ def _pick(values: list[int], at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)) for v in values]), at + 1).cast("long")
 
 
+def _granted(asked: dict[tuple[int, int, int], int], load: dict[int, int], room: list[int]) -> dict[tuple[int, int, int], float]:
+    """Shares of what is asked for, (from, to, level) to rows: exchanges between two shards, then what there is room for, largest levels first.
+
+    What leaves a shard makes room in it.
+    """
+    left = dict(asked)
+    free = [room[t] - load.get(t, 0) for t in range(len(room))]
+
+    def grant(f: int, t: int, most: int) -> int:
+        done = 0
+        for level in range(63, -1, -1):
+            n = min(left.get((f, t, level), 0), most - done)
+            if n > 0:
+                left[f, t, level] -= n
+                done += n
+        return done
+
+    pairs = {(f, t) for f, t, _ in asked}
+    for f, t in sorted(pairs):
+        if f < t and (t, f) in pairs:
+            both = min(sum(n for (a, b, _), n in left.items() if (a, b) == x) for x in ((f, t), (t, f)))
+            grant(f, t, both)
+            grant(t, f, both)
+    moved = True
+    while moved:
+        moved = False
+        for f, t, level in sorted(left, key=lambda x: (-x[2], x)):
+            n = min(left[f, t, level], max(free[t], 0))
+            if n > 0:
+                left[f, t, level] -= n
+                free[t], free[f], moved = free[t] - n, free[f] + n, True
+    return {k: (n - left[k]) / n for k, n in asked.items()}
+
+
 def propagate(members: DataFrame, room: list[int], steps: int = STEPS) -> DataFrame:
     """(group, home, n) with 0-based home shards to (group, home, shard): the shard to which each part of a group goes.
 
     room[t]: rows of groups that shard t may hold. The parts of a group that isn't whole want the shard with most of
-    it among those with room (ties: by a hash), or as many such shards as a larger group fills. The largest groups go first; of those that the quota takes only in part,
-    a hashed share goes, another one in each step.
+    it among those with room (ties: by a hash), or as many such shards as a larger group fills. What two shards want of
+    each other is exchanged; beyond that the largest groups go first while there is room. Of those that are taken only
+    in part, a hashed share goes, another one in each step. It ends when no move is granted.
     """
     now = Cut(members.withColumn("shard", F.col("home")))
     for number in range(steps):
@@ -41,25 +77,21 @@ def propagate(members: DataFrame, room: list[int], steps: int = STEPS) -> DataFr
         one = F.element_at("best", F.pmod(F.xxhash64("group", "home"), F.size("best")).cast("int") + 1)
         to = F.when(F.array_contains("best", F.col("shard")), F.col("shard")).otherwise(one)
         moves = Cut(state.join(wanted, "group", "left").withColumn("to", to).withColumn("level", F.floor(F.log2(F.col("all") + 1)).cast("int")))
-        asked = moves.df.where(F.col("shard") != F.col("to")).groupBy("to", "level").agg(F.sum("n").alias("n")).collect()  # shards * 63 rows at most
-        share = {}
-        for t in range(len(room)):
-            left = room[t] - load.get(t, 0)
-            for r in sorted((r for r in asked if r["to"] == t), key=lambda r: -r["level"]):
-                share[t, r["level"]] = max(0.0, min(1.0, left / r["n"]))
-                left -= r["n"]
+        asked = moves.df.where(F.col("shard") != F.col("to")).groupBy("shard", "to", "level").agg(F.sum("n").alias("n")).collect()  # shards**2 * 63 rows at most
+        share = _granted({(r["shard"], r["to"], r["level"]): r["n"] for r in asked}, load, room)
         if not any(share.values()):
             moves.drop()
             break
-        going = F.lit(0.0)
-        for (t, level), part in share.items():
-            going = F.when((F.col("to") == t) & (F.col("level") == level), F.lit(part)).otherwise(going)
+        granted = F.create_map(*[x for (f, t, level), part in sorted(share.items()) for x in (F.lit((f * len(room) + t) * 64 + level), F.lit(float(part)))])
+        going = F.coalesce(granted[(F.col("shard") * len(room) + F.col("to")) * 64 + F.col("level")], F.lit(0.0))
         # A group that fits moves as a whole, a larger one part by part.
         part_of = F.when(F.col("all") > max(room), F.col("home")).otherwise(-1)
         drawn = F.pmod(F.xxhash64("group", part_of, F.lit(number)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         then, now = now, Cut(moves.df.withColumn("shard", F.when(drawn < going, F.col("to")).otherwise(F.col("shard"))).select("group", "home", "n", "shard"))
         then.drop()
         moves.drop()
+    else:
+        raise RuntimeError(f"groups still move after {steps} steps")
     return now.df.select("group", "home", "shard")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from commweave.llm.common import word_count
 from commweave.llm.mixing import PASS_COSTS, mix, route, source_targets
-from commweave.llm.sharding import place, shard
+from commweave.llm.sharding import _granted, place, shard
 
 
 def test_targets_stop_at_three_times_a_source_and_share_out():
@@ -106,6 +106,29 @@ def test_shards_are_even_and_keep_groups(docs_of, prose):
     assert sum(len(s) > 1 for s in shards.values()) <= 4
 
 
+def test_exchanges_and_room_are_granted():
+    asked = {(0, 1, 2): 6, (1, 0, 1): 4, (2, 0, 3): 5}
+    assert _granted(asked, {0: 10, 1: 10, 2: 10}, [10, 10, 20]) == {(0, 1, 2): 4 / 6, (1, 0, 1): 1.0, (2, 0, 3): 0.0}
+    # room in 1 lets 0 send there, which lets 2 send to 0
+    assert _granted(asked, {0: 10, 1: 8, 2: 10}, [10, 10, 20]) == {(0, 1, 2): 1.0, (1, 0, 1): 1.0, (2, 0, 3): 2 / 5}
+
+
+def test_groups_stay_whole_where_all_rows_are_linked(docs_of, prose):
+    """No shard can be fuller than even; the cut is compared with that of the first, hashed shards and with the fewest possible."""
+    r, rows = random.Random(4), []
+    for g in range(200):
+        rows += [(1000 * g + i, prose(6, g)) for i in range(r.randint(2, 9))]
+    got = check_shards(rows, docs_of(rows), 4)
+    text, shards = dict(rows), defaultdict(Counter)
+    for x in got:
+        shards[text[x["doc_id"]]][x["shard"]] += 1
+    cut = sum(n * m for c in shards.values() for i, n in enumerate(c.values()) for m in list(c.values())[:i])
+    hashed = sum(n * (n - 1) / 2 * 3 / 4 for n in Counter(t for _, t in rows).values())
+    split = sum(len(c) > 1 for c in shards.values())
+    print(f"cut {cut} of {hashed} links, {split} of 200 groups split")
+    assert cut < 0.05 * hashed and split <= 10
+
+
 def test_one_group_with_a_third_of_all_rows(docs_of, prose):
     rows = [(i, "all alike") for i in range(100)] + [(200 + i, prose(9, i)) for i in range(200)]
     got = check_shards(rows, docs_of(rows))
