@@ -35,7 +35,7 @@ PARTS = (2, 3, 4)
 SAMPLE = 4096
 #: Rows of a bucket that are compared as they are; of larger ones, parts of RADIUS + 1 times 64 / (RADIUS + 1) bits
 #: make keys, and where these have more rows too, pairs of blocks.
-BLOCK = 4096
+BLOCK = 16_384
 #: Relative costs of comparing a pair and of shuffling a signature, for the allocation.
 PAIR_COST, PROBE_COST = 1.0, 400.0
 
@@ -146,32 +146,35 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of a spanning forest of each key's fingerprints; two that are both probes needn't be compared."""
     key, fp, own = rows["key"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["own"].to_numpy()
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     ends = np.r_[starts[1:], len(key)]
     src, dst = [], []
-    for a, z in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-        values, mine = fp[a:z], fp[a:z][own[a:z]]
-        root = {}
-
-        def find(x):
-            while (up := root.get(x, x)) != x:
-                root[x] = root.get(up, up)
-                x = up
-            return x
-
-        for i in range(0, len(mine), 512):
-            some = mine[i : i + 512]
-            for j in range(0, len(values), 2048):
-                near = np.bitwise_count(some[:, None] ^ values[None, j : j + 2048]) <= RADIUS
-                p, q = np.nonzero(near)
-                left, right = some[p], values[j : j + 2048][q]
-                for x, y in zip(left[left != right].tolist(), right[left != right].tolist()):
-                    if (rx := find(x)) != (ry := find(y)):
-                        root[max(rx, ry)] = min(rx, ry)
-                        src.append(x)
-                        dst.append(y)
-    return pd.DataFrame({"src": np.array(src, np.uint64).view(np.int64), "dst": np.array(dst, np.uint64).view(np.int64)})
+    for a, z in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+        # What is reached is taken out, so that a group of near copies costs its size and not its pairs.
+        mine, probes = fp[a:z][own[a:z]], fp[a:z][~own[a:z]]
+        while len(mine) and len(mine) + len(probes) > 1:
+            reached, mine = [(mine[0], True)], mine[1:]
+            while reached and (len(mine) or len(probes)):
+                x, whole = reached.pop()
+                near = np.bitwise_count(mine ^ x) <= RADIUS
+                if near.any():
+                    found = mine[near]
+                    src.append(np.full(len(found), x))
+                    dst.append(found)
+                    reached += [(y, True) for y in found]
+                    mine = mine[~near]
+                if whole and len(probes):
+                    near = np.bitwise_count(probes ^ x) <= RADIUS
+                    if near.any():
+                        found = probes[near]
+                        src.append(np.full(len(found), x))
+                        dst.append(found)
+                        reached += [(y, False) for y in found]
+                        probes = probes[~near]
+    src, dst = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (src, dst))
+    return pd.DataFrame({"src": src[src != dst].view(np.int64), "dst": dst[src != dst].view(np.int64)})
 
 
 def plan(together: np.ndarray, sample: np.ndarray, n: int, parts=PARTS) -> tuple[list[list[int]], list[int]]:
@@ -202,30 +205,27 @@ def links(distinct: DataFrame, parts=PARTS, block: int = BLOCK) -> DataFrame:
     masks = [[m for t in range(limit + 1) for m in (sum(1 << b for b in c) for c in combinations(range(len(g)), t))] for limit, g in zip(thresholds, groups)]
     flips = distinct.sparkSession.createDataFrame([(i, m) for i, of in enumerate(masks) for m in of], "part int, mask long")  # some hundred rows by PARTS and RADIUS
     probed = signed.join(F.broadcast(flips), "part").select("part", F.xxhash64("part", F.col("sig").bitwiseXOR(F.col("mask"))).alias("key"), "fp", (F.col("mask") == 0).alias("own"))
-    probed = _large(probed, block)
-    # Two fingerprints within RADIUS agree in one of RADIUS + 1 parts of whatever bits are left.
-    finer = F.lit(None).cast("array<bigint>")
-    for i, g in enumerate(groups):
-        rest = [b for b in range(BITS) if b not in g]
-        pieces = [rest[j :: RADIUS + 1] for j in range(RADIUS + 1)]
-        finer = F.when(F.col("part") == i, F.array(*[F.xxhash64("key", F.lit(j), _signature(piece)) for j, piece in enumerate(pieces)])).otherwise(finer)
-    keys = F.explode(F.when(F.col("size") > block, finer).otherwise(F.array("key")))
-    sized = _large(probed.select(keys.alias("key"), "fp", "own"), block)
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    paired = sized.select("key", "fp", "own", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    key = F.when((F.col("mine") == 0) & (F.col("other") == 0), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))  # keys that fall together are only compared in vain
-    keyed = paired.select(key.alias("key"), "fp", "own")
+    large = cut(probed.groupBy("key").count().where(F.col("count") > block).select("key"))
+    if large.isEmpty():
+        keyed = probed.select("key", "fp", "own")
+    else:
+        # Two fingerprints within RADIUS agree in one of RADIUS + 1 parts of whatever bits are left.
+        finer = F.lit(None).cast("array<bigint>")
+        for i, g in enumerate(groups):
+            rest = [b for b in range(BITS) if b not in g]
+            pieces = [rest[j :: RADIUS + 1] for j in range(RADIUS + 1)]
+            finer = F.when(F.col("part") == i, F.array(*[F.xxhash64("key", F.lit(j), _signature(piece)) for j, piece in enumerate(pieces)])).otherwise(finer)
+        parted = cut(probed.join(large, "key", "left_semi").select(F.explode(finer).alias("key"), "fp", "own"))
+        sizes = parted.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+        sized = parted.join(sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        paired = sized.select("key", "fp", "own", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))  # keys that fall together are only compared in vain
+        keyed = probed.join(large, "key", "left_anti").select("key", "fp", "own").unionByName(paired.select(key.alias("key"), "fp", "own"))
     found = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_forest, "src long, dst long")
     return found.distinct()
 
 
-def _large(rows: DataFrame, block: int) -> DataFrame:
-    """``rows`` plus the number of rows with their key where it is beyond ``block``, else 1."""
-    large = rows.groupBy("key").count().where(F.col("count") > block).withColumnRenamed("count", "size")
-    return rows.join(large, "key", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id) of every row; other columns of ``docs`` are left out.
 
