@@ -23,5 +23,7 @@ def running_before(df: DataFrame, by: list[Column], value: Column | None = None,
 
 
 def mixed_hash(v: Column, seed: int = 0) -> Column:
-    """A hash of ids below 2**31 that plain SQL computes alike: (v * 2654435761 + seed) mod 2**32."""
-    return (v.cast("long") * F.lit(2654435761) + F.lit(seed)) % F.lit(4294967296)
+    """A hash of ids from 0 on that plain SQL computes alike: (v * 2654435761 + seed) mod 2**32, by halves of 16 bits."""
+    low = v.cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+    high, low = F.shiftright(low, 16), low.bitwiseAND(F.lit((1 << 16) - 1))
+    return ((high * F.lit(2654435761)) % F.lit(1 << 16) * F.lit(1 << 16) + low * F.lit(2654435761) + F.lit(seed)) % F.lit(1 << 32)
