@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import accumulate
+
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -22,6 +27,30 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def shingle_digests(text: bytes | None, shingle: int, seed: int, piece: int = 1 << 20) -> Iterator[bytes]:
+    """XXH64 (8 bytes each) of all word shingles of a text in lower case (A-Z), space-joined, some megabytes of text at a time.
+
+    Fewer words than a shingle are one; no words give nothing.
+    """
+    text, carry, at, found = (text or b"").lower(), [], 0, False
+    digest = xxhash.xxh64_digest
+    while at < len(text):
+        end = at + piece
+        cut_at = _SPACE.search(text, end) if end < len(text) else None
+        end = cut_at.start() if cut_at else len(text)
+        words, at = carry + text[at:end].split(), end
+        if len(words) >= shingle:
+            line, ends = b" ".join(words), list(accumulate(len(w) + 1 for w in words))
+            yield b"".join([digest(line[a : b - 1], seed) for a, b in zip([0, *ends], ends[shingle - 1 :])])
+            words, found = words[len(words) - shingle + 1 :], True
+        carry = words
+    if carry and not found:
+        yield digest(b" ".join(carry), seed)
+
+
 @F.arrow_udf(LongType())
 def count_words(text: pa.Array) -> pa.Array:
     """Words of UTF-8 texts given as binary; null has none. bytes.split() cuts at exactly the six ASCII spaces."""

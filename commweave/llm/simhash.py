@@ -14,17 +14,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from commweave.llm.common import cut
+from commweave.llm.common import cut, shingle_digests
 from commweave.llm.graph import connected_components
 from commweave.llm.nearcopies import near_copies
 
@@ -42,18 +41,12 @@ PAIR_COST, PROBE_COST = 1.0, 400.0
 
 def fingerprint(text: bytes | None) -> int:
     """Signed 64-bit SimHash: a bit is set if it is in over half of the shingles' XXH64; no words: 0."""
-    words = text.lower().split() if text else []
-    if not words:
-        return 0
-    line, ends = b" ".join(words), list(accumulate(len(w) + 1 for w in words))
-    digest = xxhash.xxh64_digest
-    if len(words) <= SHINGLE:
-        hashes = digest(line, SEED)
-    else:
-        hashes = b"".join([digest(line[a : b - 1], SEED) for a, b in zip([0, *ends], ends[SHINGLE - 1 :])])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, BITS)
-    counts = np.add.reduce(bits, axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(counts * 2 > len(bits)).tobytes(), "big", signed=True)
+    counts, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_digests(text, SHINGLE, SEED):
+        bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, BITS)
+        counts += np.add.reduce(bits, axis=0, dtype=np.int32)
+        n += len(bits)
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True) if n else 0
 
 
 @F.arrow_udf(LongType())

@@ -102,3 +102,17 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 7), (201, 200)], "src long, dst long")
     got = {x["node"]: x["component"] for x in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {200: 200, 201: 200}
+
+
+@pytest.mark.parametrize("shingle", [1, 4, 5])
+def test_shingles_of_pieces_are_those_of_the_whole(shingle):
+    from commweave.llm.common import shingle_digests
+
+    r = random.Random(3)
+    for n in (0, 1, 3, 4, 5, 6, 200):
+        w = ["".join(r.choice("abc") for _ in range(r.randint(1, 9))).encode() for _ in range(n)]
+        text = b" \n" + b"".join(x + r.choice([b" ", b"  ", b"\t\n"]) for x in w)
+        want = [b" ".join(w[i : i + shingle]) for i in range(max(1, n - shingle + 1))] if n else []
+        for piece in (1, 7, 50, 10_000):
+            got = b"".join(shingle_digests(text.upper(), shingle, 42, piece))
+            assert got == b"".join(xxhash.xxh64_digest(x, 42) for x in want)
