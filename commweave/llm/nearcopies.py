@@ -1,11 +1,13 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
-
-Two sets of n shingles or more with similarity s share at least s * n of them, so they share one of their first
-n - ceil(s * n) + 1 shingles in any order that is the same for all texts (prefix filtering): no pair is lost. Frequent
-shingles come last in the order; which are frequent is estimated on a sample, which changes the work but not the result.
-Candidates must agree in size and in a parity bitmap (two bitmaps differ in no more bits than the sets in shingles) and
-are verified on the whole sets. Each shingle's first set is compared with the others at first, then only sets that are
-still in different components, so that large groups of near copies don't cost all their pairs.
+"""Near copies by SimHash and the exact Jaccard similarity of word shingles.
+
+SimHash (simhash.links, generalised pigeonhole) finds texts whose fingerprints of these shingles lie within a radius; its
+links are verified on the whole sets of shingles and make components. What the radius misses is completed between
+components by prefix filtering: two sets of n shingles or more with similarity s share at least s * n of them, so they
+share one of their first n - ceil(s * n) + 1 shingles in any order that is the same for all texts: no pair is lost.
+Frequent shingles come last in the order; which are frequent is estimated on a sample, which changes the work but not
+the result. At the first shingle that two sets share, at places i and j, they can share min(n - i, m - j) at most.
+Candidates must agree in size, in these places and in a parity bitmap (two bitmaps differ in no more bits than the sets
+in shingles) and are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -18,20 +20,34 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commweave.llm.common import cut, shingle_digests
+from commweave.llm.common import Cut, shingle_digests
 from commweave.llm.graph import connected_components
+from commweave.llm.simhash import links, of_digests
 
 SEED, SHINGLE, SIMILARITY = 42, 5, 0.8
 #: One text in SAMPLE is read to find shingles of so many texts that they come last; at most FREQUENT are sent to the tasks.
 SAMPLE, FREQUENT = 8, 1 << 20
-#: Bits of a parity bitmap.
-PARITY = 1024
+#: Bits of a parity bitmap, and of its folded form.
+PARITY, FOLDED = 1024, 256
+#: Differing bits of 64 up to which SimHash looks for near copies; it changes the work but not the result.
+RADIUS = 6
+#: Rows of two numbers that are sent to all tasks at most; more are shuffled, and the texts with them.
+SENT = 1 << 20
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """Rows of two numbers for a join, broadcast if they are few enough; they are counted, so they should lie in storage."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
+def _set_of(digests: list[bytes]) -> np.ndarray:
+    parts = [np.frombuffer(x, np.int64) for x in digests]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 
 
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct XXH64 of the word shingles; of fewer words the hash of all of them; none for no words."""
-    parts = [np.frombuffer(x, np.int64) for x in shingle_digests(text, shingle, SEED)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+    return _set_of(list(shingle_digests(text, shingle, SEED)))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -48,13 +64,15 @@ def _sets(shingle: int):
 
 
 def _marks(shingle: int, similarity: float, frequent: np.ndarray, rank: np.ndarray):
-    """sig: hash of the set; n: its size; bits: its parity bitmap; prefix: its first shingles, frequent ones last."""
+    """sig: hash of the set; n: its size; fp: SimHash; bits: its parity bitmap; prefix: its first shingles, frequent ones last."""
 
-    @F.arrow_udf("struct<sig: bigint, n: int, bits: array<bigint>, prefix: array<bigint>>")
+    @F.arrow_udf("struct<sig: bigint, n: int, fp: bigint, bits: array<bigint>, prefix: array<bigint>>")
     def marks(text: pa.Array) -> pa.Array:
-        sig, n, bits, prefix = [], [], [], []
+        sig, n, fp, bits, prefix = [], [], [], [], []
         for x in text.to_pylist():
-            s = shingle_set(x, shingle)
+            digests = list(shingle_digests(x, shingle, SEED))
+            s = _set_of(digests)
+            fp.append(of_digests(digests))
             first = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
             late = np.zeros(len(s), np.int64)
             if len(frequent) and len(s):
@@ -64,7 +82,7 @@ def _marks(shingle: int, similarity: float, frequent: np.ndarray, rank: np.ndarr
             n.append(len(s))
             bits.append(np.packbits((np.bincount(s & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64))
             prefix.append(s[np.lexsort((s, late))[:first]])
-        return pa.StructArray.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int32()), _lists(bits), _lists(prefix)], ["sig", "n", "bits", "prefix"])
+        return pa.StructArray.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), _lists(bits), _lists(prefix)], ["sig", "n", "fp", "bits", "prefix"])
 
     return marks
 
@@ -81,13 +99,15 @@ def _frequent(docs: DataFrame, text: Column, shingle: int) -> tuple[np.ndarray,
 
 
 def _may(a: str, b: str, similarity: float) -> Column:
-    """Whether sizes and folded bitmaps of two sets allow the similarity."""
+    """Whether sizes, places of a shared shingle and folded bitmaps of two sets allow the similarity."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.bit_count(F.col(f"{a}.f0").bitwiseXOR(F.col(f"{b}.f0"))) + F.bit_count(F.col(f"{a}.f1").bitwiseXOR(F.col(f"{b}.f1")))
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9)
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.f{i}").bitwiseXOR(F.col(f"{b}.f{i}"))) for i in range(FOLDED // 64)])
+    shared = F.least(n - F.col(f"{a}.i"), m - F.col(f"{b}.i"))
+    sizes = (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (shared * (1 + similarity) >= similarity * (n + m) - 1e-9)
+    return sizes & (apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9)
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, component_id, body, keep) of every row; texts are linked if their sets of shingles have the similarity or more.
 
     body: XXH64 of the text, 42 for null. keep: whether the row's id and body are those that stand for its group, the
@@ -97,43 +117,61 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     """
     body = F.col(text).cast("binary")
     marks = _marks(shingle, similarity, *_frequent(docs, body, shingle))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("body"), marks(body).alias("m"))
-    slim = cut(slim.select("doc_id", "body", "m.*"))
+    marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("body"), marks(body).alias("m"))
+    marked = Cut(marked.select("doc_id", "body", "m.*"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "body")).alias("first")
-    same = [first, F.min("body").alias("body"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")]]
-    distinct = cut(slim.groupBy("sig").agg(*same))
+    same = [first, F.min("body").alias("body"), *[F.first(c).alias(c) for c in ("n", "fp", "bits", "prefix")]]
+    whole = Cut(marked.df.groupBy("sig").agg(*same))
+    slim = Cut(marked.df.select("doc_id", "body", "sig"))
+    marked.drop()
+    # Shingles that the same sets have first are one spot: a set stands there with its least place.
     of = Window.partitionBy("h")
-    # The parity bitmap folded to 128 bits rides along, so that most pairs of small sets need no join to be ruled out.
-    folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.get("bits", F.lit(i)) for i in range(j, PARITY // 64, 2)]) for j in (0, 1)]
-    spots = distinct.select(F.explode("prefix").alias("h"), F.struct("sig", "n", folded[0].alias("f0"), folded[1].alias("f1")).alias("x"))
-    spots = cut(spots.select("h", "x", F.min("x").over(of).alias("y"), F.count("*").over(of).alias("k")).where("k > 1").drop("k"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (src, dst) of sets to those that are similar; only texts of candidates are read again."""
+    spots = whole.df.select("sig", "n", F.posexplode("prefix").alias("i", "h"))
+    spots = spots.select("sig", "n", "i", F.count("*").over(of).alias("k"), F.bit_xor(F.xxhash64("sig")).over(of).alias("spot")).where("k > 1")
+    spots = Cut(spots.groupBy("spot", "sig").agg(F.min("n").alias("n"), F.min("i").alias("i")))
+    kept = Cut(whole.df.drop("prefix"))
+    whole.drop()
+    distinct = kept.df
+
+    def verified(pairs: DataFrame) -> Cut:
+        """Distinct pairs (src, dst) of sets to those that are similar; only texts of candidates are read again."""
         for end in ("src", "dst"):
-            pairs = pairs.distinct() if end == "src" else pairs
             pairs = pairs.join(distinct.select(F.col("sig").alias(end), F.struct("n", "bits").alias(f"_{end}")), end)
         apart = F.aggregate(F.zip_with("_src.bits", "_dst.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-        pairs = cut(pairs.where(apart <= (1 - similarity) / (1 + similarity) * (F.col("_src.n") + F.col("_dst.n")) + 1e-9).select("src", "dst"))
-        asked = pairs.select(F.col("src").alias("sig")).unionByName(pairs.select(F.col("dst").alias("sig"))).distinct()
-        wanted = distinct.join(asked, "sig", "left_semi").select("sig", "body")
-        once = docs.select(F.xxhash64(body).alias("body"), body.alias("_text")).join(wanted, "body").dropDuplicates(["sig"])
-        sets = cut(once.select("sig", _sets(shingle)(F.col("_text")).alias("s")))
-        both = pairs.join(sets.select(F.col("sig").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("sig").alias("dst"), F.col("s").alias("b")), "dst")
+        likely = Cut(pairs.where(apart <= (1 - similarity) / (1 + similarity) * (F.col("_src.n") + F.col("_dst.n")) + 1e-9).select("src", "dst"))
+        asked = likely.df.select(F.explode(F.array("src", "dst")).alias("sig")).distinct()
+        wanted = Cut(distinct.join(asked, "sig", "left_semi").select("sig", "body"))
+        once = docs.select(F.xxhash64(body).alias("body"), body.alias("_text")).join(sent(wanted.df), "body").select("sig", _sets(shingle)(F.col("_text")).alias("s"))
+        sets = Cut(once.dropDuplicates(["sig"]))
+        both = likely.df.join(sets.df.select(F.col("sig").alias("src"), F.col("s").alias("a")), "src").join(sets.df.select(F.col("sig").alias("dst"), F.col("s").alias("b")), "dst")
         shared = F.size(F.array_intersect("a", "b"))
-        return cut(both.where(shared * (1 + similarity) >= similarity * (F.size("a") + F.size("b")) - 1e-9).select("src", "dst"))
-
-    firsts = spots.where((F.col("x.sig") != F.col("y.sig")) & _may("x", "y", similarity)).select(F.col("y.sig").alias("src"), F.col("x.sig").alias("dst"))
-    links = verified(firsts)
-    labels = connected_components(links)
-    placed = spots.select("h", "x", F.col("x.sig").alias("node")).join(labels, "node", "left").select("h", "x", F.coalesce("component", "node").alias("c"))
-    open_ = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    left = cut(placed.join(open_, "h", "left_semi"))
-    others = left.select("h", F.col("x").alias("y"), F.col("c").alias("d"))
-    rest = left.join(others, "h").where((F.col("c") != F.col("d")) & (F.col("x.sig") < F.col("y.sig")) & _may("x", "y", similarity)).select(F.col("x.sig").alias("src"), F.col("y.sig").alias("dst"))
-    links = links.unionByName(verified(rest.join(firsts.distinct(), ["src", "dst"], "left_anti")))
-    labels = connected_components(links).withColumnRenamed("node", "sig")
+        found = Cut(both.where(shared * (1 + similarity) >= similarity * (F.size("a") + F.size("b")) - 1e-9).select("src", "dst"))
+        for done in (likely, wanted, sets):
+            done.drop()
+        return found
+
+    prints = Cut(distinct.groupBy("fp").agg(F.min("sig").alias("to")))
+    near = links(prints.df.select("fp"), radius=radius)
+    for end in ("src", "dst"):
+        near = near.join(prints.df.select(F.col("fp").alias(end), F.col("to").alias(f"_{end}")), end)
+    alike = distinct.join(prints.df, "fp").where("sig <> to").select(F.col("to").alias("src"), F.col("sig").alias("dst"))
+    by_print = verified(near.select(F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst")).distinct().unionByName(alike))
+    labels = connected_components(by_print.df)
+    placed = spots.df.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
+    open_ = placed.groupBy("spot").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("spot")
+    folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.get("bits", F.lit(i)) for i in range(j, PARITY // 64, FOLDED // 64)]).alias(f"f{j}") for j in range(FOLDED // 64)]
+    open_ = placed.join(open_, "spot", "left_semi").join(distinct.select("sig", *folded), "sig")
+    left = Cut(open_.select("spot", F.struct("sig", "n", "i", "c", *[f"f{j}" for j in range(FOLDED // 64)]).alias("x")))
+    spots.drop()
+    others = left.df.select("spot", F.col("x").alias("y"))
+    rest = left.df.join(others, "spot").where((F.col("x.c") != F.col("y.c")) & (F.col("x.sig") < F.col("y.sig")) & _may("x", "y", similarity))
+    by_set = verified(rest.select(F.col("x.sig").alias("src"), F.col("y.sig").alias("dst")).distinct())
+    labels = connected_components(by_print.df.unionByName(by_set.df)).withColumnRenamed("node", "sig")
     named = distinct.select("sig", "first").join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     smallest = named.groupBy("component").agg(F.min("first").alias("first"))
     keep = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("body") == F.col("first.body"))
-    return slim.select("doc_id", "body", "sig").join(named.select("sig", "component").join(smallest, "component").drop("component"), "sig").select("doc_id", F.col("first.id").alias("component_id"), "body", keep.alias("keep"))
+    found = slim.df.join(named.select("sig", "component").join(smallest, "component").drop("component"), "sig")
+    found = Cut(found.select("doc_id", F.col("first.id").alias("component_id"), "body", keep.alias("keep")))
+    for done in (slim, kept, prints, by_print, left, by_set):
+        done.drop()
+    return found.df

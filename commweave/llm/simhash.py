@@ -13,7 +13,7 @@ A large bucket is cut up by the pigeonhole principle once more, over the bits ou
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +25,6 @@ from pyspark.sql.types import LongType
 
 from commweave.llm.common import cut, shingle_digests
 from commweave.llm.graph import connected_components
-from commweave.llm.nearcopies import near_copies
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
 #: Numbers of partitions that are weighed against each other; each has 64 / parts bits.
@@ -41,8 +40,13 @@ PAIR_COST, PROBE_COST = 1.0, 400.0
 
 def fingerprint(text: bytes | None) -> int:
     """Signed 64-bit SimHash: a bit is set if it is in over half of the shingles' XXH64; no words: 0."""
+    return of_digests(shingle_digests(text, SHINGLE, SEED))
+
+
+def of_digests(digests: Iterable[bytes]) -> int:
+    """fingerprint() of shingles' XXH64, in pieces of many."""
     counts, n = np.zeros(BITS, np.int64), 0
-    for hashes in shingle_digests(text, SHINGLE, SEED):
+    for hashes in digests:
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, BITS)
         counts += np.add.reduce(bits, axis=0, dtype=np.int32)
         n += len(bits)
@@ -120,25 +124,28 @@ def _signature(bits: list[int]):
     return sum((F.shiftleft(F.shiftrightunsigned(F.col("fp"), b).bitwiseAND(F.lit(1)), i) for i, b in enumerate(bits)), F.lit(0).cast("long"))
 
 
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows (key, fp, own) to the links of a spanning forest of each key's fingerprints."""
-    kept: list[pd.DataFrame] = []
-    for b in batches:
-        if not len(b):
-            continue
-        key = b["key"].to_numpy()
-        cut_at = int(np.searchsorted(key, key[-1]))
-        if kept and (cut_at or kept[0]["key"].iloc[0] != key[-1]):
-            yield _links(pd.concat([*kept, b.iloc[:cut_at]], ignore_index=True))
-            kept = []
-        elif cut_at:
-            yield _links(b.iloc[:cut_at])
-        kept.append(b.iloc[cut_at:])
-    if kept:
-        yield _links(pd.concat(kept, ignore_index=True))
-
-
-def _links(rows: pd.DataFrame) -> pd.DataFrame:
+def _forest(radius: int):
+    def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted rows (key, fp, own) to the links of a spanning forest of each key's fingerprints."""
+        kept: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            key = b["key"].to_numpy()
+            cut_at = int(np.searchsorted(key, key[-1]))
+            if kept and (cut_at or kept[0]["key"].iloc[0] != key[-1]):
+                yield _links(pd.concat([*kept, b.iloc[:cut_at]], ignore_index=True), radius)
+                kept = []
+            elif cut_at:
+                yield _links(b.iloc[:cut_at], radius)
+            kept.append(b.iloc[cut_at:])
+        if kept:
+            yield _links(pd.concat(kept, ignore_index=True), radius)
+
+    return forest
+
+
+def _links(rows: pd.DataFrame, radius: int = RADIUS) -> pd.DataFrame:
     """Links of a spanning forest of each key's fingerprints; two that are both probes needn't be compared."""
     key, fp, own = rows["key"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["own"].to_numpy()
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -151,7 +158,7 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
             reached, mine = [(mine[0], True)], mine[1:]
             while reached and (len(mine) or len(probes)):
                 x, whole = reached.pop()
-                near = np.bitwise_count(mine ^ x) <= RADIUS
+                near = np.bitwise_count(mine ^ x) <= radius
                 if near.any():
                     found = mine[near]
                     src.append(np.full(len(found), x))
@@ -159,7 +166,7 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
                     reached += [(y, True) for y in found]
                     mine = mine[~near]
                 if whole and len(probes):
-                    near = np.bitwise_count(probes ^ x) <= RADIUS
+                    near = np.bitwise_count(probes ^ x) <= radius
                     if near.any():
                         found = probes[near]
                         src.append(np.full(len(found), x))
@@ -170,43 +177,44 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": src[src != dst].view(np.int64), "dst": dst[src != dst].view(np.int64)})
 
 
-def plan(together: np.ndarray, sample: np.ndarray, n: int, parts=PARTS) -> tuple[list[list[int]], list[int]]:
+def plan(together: np.ndarray, sample: np.ndarray, n: int, parts=PARTS, radius: int = RADIUS) -> tuple[list[list[int]], list[int]]:
     """Partitions and thresholds of least estimated cost."""
     best = None
     for k in parts:
         groups, costs = group_bits(together, n, k), []
         for bits in groups:
             width = len(bits)
-            pairs, probes = candidate_counts(sample, bits, n, RADIUS // 2), np.cumsum([1, width, width * (width - 1) // 2])
+            most = max(1, radius // 2)
+            pairs, probes = candidate_counts(sample, bits, n, most), np.cumsum([math.comb(width, t) for t in range(most + 1)])
             costs.append([0.0] + [PAIR_COST * c + PROBE_COST * n * p for c, p in zip(pairs, probes)])
-        thresholds = allocate(costs)
+        thresholds = allocate(costs, radius)
         cost = sum(c[t + 1] for c, t in zip(costs, thresholds))
         if best is None or cost < best[0]:
             best = (cost, groups, thresholds)
     return best[1], best[2]
 
 
-def links(distinct: DataFrame, parts=PARTS, block: int = BLOCK) -> DataFrame:
-    """Distinct fingerprints (fp) to links (src, dst) that join exactly those within RADIUS, transitively."""
+def links(distinct: DataFrame, parts=PARTS, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+    """Distinct fingerprints (fp) to links (src, dst) that join exactly those within the radius, transitively."""
     together = np.zeros(BITS * BITS)
     for r in distinct.select("fp").mapInPandas(_co_occurrence, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
         together[r["k"]] = r["n"]
     n = distinct.count()
     sample = np.array([r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
-    groups, thresholds = plan(together.reshape(BITS, BITS), sample, n, parts)
+    groups, thresholds = plan(together.reshape(BITS, BITS), sample, n, parts, radius)
     signed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _signature(g).alias("sig")) for i, g in enumerate(groups)])).alias("s")).select("fp", "s.part", "s.sig")
     masks = [[m for t in range(limit + 1) for m in (sum(1 << b for b in c) for c in combinations(range(len(g)), t))] for limit, g in zip(thresholds, groups)]
-    flips = distinct.sparkSession.createDataFrame([(i, m) for i, of in enumerate(masks) for m in of], "part int, mask long")  # some hundred rows by PARTS and RADIUS
+    flips = distinct.sparkSession.createDataFrame([(i, m) for i, of in enumerate(masks) for m in of], "part int, mask long")  # some hundred rows by parts and radius
     probed = signed.join(F.broadcast(flips), "part").select("part", F.xxhash64("part", F.col("sig").bitwiseXOR(F.col("mask"))).alias("key"), "fp", (F.col("mask") == 0).alias("own"))
     large = cut(probed.groupBy("key").count().where(F.col("count") > block).select("key"))
     if large.isEmpty():
         keyed = probed.select("key", "fp", "own")
     else:
-        # Two fingerprints within RADIUS agree in one of RADIUS + 1 parts of whatever bits are left.
+        # Two fingerprints within the radius agree in one of radius + 1 parts of whatever bits are left.
         finer = F.lit(None).cast("array<bigint>")
         for i, g in enumerate(groups):
             rest = [b for b in range(BITS) if b not in g]
-            pieces = [rest[j :: RADIUS + 1] for j in range(RADIUS + 1)]
+            pieces = [rest[j :: radius + 1] for j in range(radius + 1)]
             finer = F.when(F.col("part") == i, F.array(*[F.xxhash64("key", F.lit(j), _signature(piece)) for j, piece in enumerate(pieces)])).otherwise(finer)
         parted = cut(probed.join(large, "key", "left_semi").select(F.explode(finer).alias("key"), "fp", "own"))
         sizes = parted.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
@@ -215,7 +223,7 @@ def links(distinct: DataFrame, parts=PARTS, block: int = BLOCK) -> DataFrame:
         paired = sized.select("key", "fp", "own", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))  # keys that fall together are only compared in vain
         keyed = probed.join(large, "key", "left_anti").select("key", "fp", "own").unionByName(paired.select(key.alias("key"), "fp", "own"))
-    found = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_forest, "src long, dst long")
+    found = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_forest(radius), "src long, dst long")
     return found.distinct()
 
 
@@ -235,14 +243,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near copies (nearcopies: five words, similarity 0.8) stays; all columns are kept.
+    """One document of each group of near copies (nearcopies: SimHash, five words, similarity 0.8) stays; all columns are kept.
 
     It is the one with the smallest id that isn't null, of several the one whose text has the smallest hash. Of rows
     alike in id and text one stays, that with the smallest hash of all columns. Only the ids and text hashes of what
     goes are joined to the documents.
     """
-    marked = cut(near_copies(docs, doc_id, text))
-    gone = marked.where(~F.col("keep")).select(F.col("doc_id").alias("_i"), F.col("body").alias("_b")).distinct()
+    from commweave.llm.nearcopies import near_copies, sent  # which finds its candidates by the links above
+
+    marked = near_copies(docs, doc_id, text)
+    gone = sent(cut(marked.where(~F.col("keep")).select(F.col("doc_id").alias("_i"), F.col("body").alias("_b")).distinct()))
     held = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text).cast("binary")).alias("_body"))
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_body") == F.col("_b"))
     left = held.join(gone, same, "left_anti")

@@ -52,3 +52,20 @@ def test_deduplicate_takes_five_words_and_similarity(docs_of, prose):
     assert max(x.bit_count() for x in bits) > 4
     assert {x["doc_id"] for x in deduplicate(docs_of(rows)).collect()} == {d for d, c in brute(rows).items() if d == c}
     assert not {d for d, c in brute(rows).items() if d == c} & set(range(1, 90, 3))
+
+
+@pytest.mark.parametrize("radius", [0, 3, 10])
+def test_simhash_makes_components_and_prefixes_complete_them(docs_of, prose, monkeypatch, radius):
+    r, rows, found = random.Random(9), [], []
+    links = nearcopies.links
+    monkeypatch.setattr(nearcopies, "links", lambda prints, **k: found.append((k["radius"], links(prints, **k).count())) or links(prints, **k))
+    for g in range(4):  # each copy of a text is edited in places of its own
+        w = prose(150, g).split()
+        for i in range(25):
+            x = [*w]
+            for _ in range(r.randint(0, 3)):
+                x[r.randrange(len(x))] = f"z{r.randrange(99)}"
+            rows.append((len(rows), " ".join(x)))
+    got = {x["doc_id"]: x["component_id"] for x in nearcopies.near_copies(docs_of(rows), radius=radius).collect()}
+    assert got == brute(rows)
+    assert found[0][0] == radius and (found[0][1] >= 40 or radius < 10)
