@@ -13,6 +13,8 @@ depth 0 and 65,536 at depth 1 at most, and these two are completed on the driver
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -34,7 +36,7 @@ HOT, OFTEN, SHORT = 1 << 21, 1 << 16, 64
 #: Distinct events or bytes of distinct tokens that a task gathers before it hands them on, and bytes of text that it counts at a time.
 FLUSH_EVENTS, FLUSH_TOKENS, GATHERED = 3 << 19, 1 << 24, 1 << 21
 #: Bytes of text and texts that are looked up together.
-TOGETHER, TEXTS = 1 << 20, 256
+TOGETHER, TEXTS = 1 << 19, 256
 #: Buckets in which counts of events are added up, by the last LEAST_CUT bytes of the context.
 BUCKETS = 1024
 LN2 = math.log(2)
@@ -75,11 +77,15 @@ def tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def events(texts: list[bytes]) -> np.ndarray:
     """Keys of all bytes of spelled texts, in order. A text's first bytes have end marks for context."""
-    buffer = np.frombuffer(END * DEPTH + (END * DEPTH).join(texts), np.uint8).astype(np.uint64)
+    buffer = np.frombuffer(END * DEPTH + (END * DEPTH).join(texts), np.uint8)
     n = len(buffer) - DEPTH
-    key = buffer[DEPTH:].copy()
+    key = buffer[DEPTH:].astype(np.uint64)
+    before = np.empty(n, np.uint64)
     for i in range(1, DEPTH + 1):
-        key |= buffer[DEPTH - i : DEPTH - i + n] << np.uint64(8 * (DEPTH + 1 - i))
+        before[:] = buffer[DEPTH - i : DEPTH - i + n]
+        before <<= np.uint64(8 * (DEPTH + 1 - i))
+        key |= before
+    del before
     inside = np.ones(n, bool)
     for at in np.cumsum([len(t) + DEPTH for t in texts[:-1]]).tolist():
         inside[at - DEPTH : at] = False
@@ -93,6 +99,18 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.diff(np.r_[starts, len(keys)])
 
 
+def _trimmed(work: Callable[[Iterator], Iterator]):
+    """work(), after which a worker that is used again gives its free memory back, so that stages don't add up."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Weights:
     """What one level makes of zeros, ones and the sum of the children's logpw (None: no children), for each (context, node)."""
 
@@ -323,7 +341,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list
 
 def vocabulary(given: DataFrame) -> DataFrame:
     """(token, c, total) of (held_out, text as binary): training count and count of every token; the empty one is the end mark."""
-    return given.mapInArrow(_count_tokens, "token binary, c long, total long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
+    return given.mapInArrow(_trimmed(_count_tokens), "token binary, c long, total long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
 
 def tree(given: DataFrame, cut_at: int | None = None, group: int = GROUP) -> DataFrame:
@@ -331,8 +349,8 @@ def tree(given: DataFrame, cut_at: int | None = None, group: int = GROUP) -> Dat
 
     cut_at: where the tree is cut, from 2 to DEPTH - 1; by default as deep as makes subtrees of ``group`` events at most.
     """
-    parts = given.mapInArrow(_count_events, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
-    counts = cut(parts.mapInArrow(_add_events, "key long, n long, m long"))
+    parts = given.mapInArrow(_trimmed(_count_events), "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    counts = cut(parts.mapInArrow(_trimmed(_add_events), "key long, n long, m long"))
     last = lambda c: F.shiftrightunsigned("key", 8 * (DEPTH + 1 - c))
     if cut_at is None:
         for cut_at in range(LEAST_CUT, DEPTH):
@@ -348,7 +366,7 @@ def tree(given: DataFrame, cut_at: int | None = None, group: int = GROUP) -> Dat
         return pd.DataFrame(dict(zip(columns, (f.context.view(np.int64), f.node, f.zeros, f.ones, f.logpw))))
 
     # Entries by depth, from the cut up to depth 2; each is the sum of its children below.
-    entries = {cut_at: Cut(grouped.repartition("g").sortWithinPartitions("g", "key").mapInPandas(_whole_groups(summary), kinds))}
+    entries = {cut_at: Cut(grouped.repartition("g").sortWithinPartitions("g", "key").mapInPandas(_trimmed(_whole_groups(summary)), kinds))}
 
     def parents(d: int) -> DataFrame:
         by = F.shiftrightunsigned("context", 8).alias("context")
@@ -392,7 +410,7 @@ def tree(given: DataFrame, cut_at: int | None = None, group: int = GROUP) -> Dat
         above = tuple(up[x].to_numpy() for x in "abf") if given_above else top.to(f.context.view(np.int64) >> 8, f.node)
         return pd.DataFrame({"key": ev["key"].to_numpy(), "m": ev["m"].to_numpy(np.int64), "lp": f.log10(*above)})
 
-    return cut(both.repartition("g").sortWithinPartitions("g", "key").mapInPandas(_whole_groups(score), "key long, m long, lp double"))
+    return cut(both.repartition("g").sortWithinPartitions("g", "key").mapInPandas(_trimmed(_whole_groups(score)), "key long, m long, lp double"))
 
 
 def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
@@ -452,10 +470,13 @@ def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: st
                 rare, tf = _runs(owner[entry == len(often_token)] * np.int64(len(distinct)) + place[entry == len(often_token)])
                 # Keys take 56 bits; the text's place among TEXTS rides below, so that plain values are sorted.
                 lengths = np.array([len(t) for t in bodies])
-                pairs = events(bodies) << np.uint64(8) | np.repeat(np.arange(many), lengths).astype(np.uint64)
+                pairs = events(bodies)
+                pairs <<= np.uint64(8)
+                pairs |= np.repeat(np.arange(many, dtype=np.uint64), lengths)
                 pairs.sort()
-                key, whose = pairs >> np.uint64(8), (pairs & np.uint64(255)).astype(np.int64)
-                spot = np.minimum(np.searchsorted(hot_key, key), max(len(hot_key) - 1, 0))
+                key, whose = pairs >> np.uint64(8), (pairs & np.uint64(255)).view(np.int64)
+                spot = np.searchsorted(hot_key, key)
+                np.minimum(spot, max(len(hot_key) - 1, 0), out=spot)
                 hit = hot_key[spot] == key if len(hot_key) else np.zeros(len(key), bool)
                 score = np.bincount(whose[hit], hot_lp[spot[hit]] if len(hot_key) else None, many).astype(np.float64)
                 pairs, times = _runs(pairs[~hit])
@@ -480,7 +501,7 @@ def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: st
 
     kind = docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), F.col(text).cast("binary").alias("text"))
-    parts = cut(texts.mapInArrow(split, f"row long, doc_id {kind}, held_out boolean, bytes long, token binary, key long, tf long, known long, base double, score double"))
+    parts = cut(texts.mapInArrow(_trimmed(split), f"row long, doc_id {kind}, held_out boolean, bytes long, token binary, key long, tf long, known long, base double, score double"))
     chance = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     none = lambda of, name: F.lit(None).cast(of).alias(name)
     same = ["row", none(kind, "doc_id"), none("boolean", "held_out"), none("long", "bytes")]

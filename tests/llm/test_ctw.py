@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -119,3 +120,13 @@ def test_no_rows_and_no_training_rows(docs_of):
     assert ctw.score_texts(empty, "held_out").count() == 0
     r = ctw.score_texts(docs_of([(1, "ab")]).selectExpr("*", "true as held_out"), "held_out").first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (2, 0, 0) and r["score"] == pytest.approx(-32 * math.log10(2))
+
+
+def test_events_take_little_memory_for_each_byte():
+    text = ctw.spelled(b"some words of a long text " * 40_000)
+    tracemalloc.start()
+    try:
+        assert len(ctw.events([text])) == len(text)
+        assert tracemalloc.get_traced_memory()[1] < 22 * len(text)  # 8 are the keys
+    finally:
+        tracemalloc.stop()
