@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -51,12 +53,36 @@ def shingle_digests(text: bytes | None, shingle: int, seed: int, piece: int = 1
         yield digest(b" ".join(carry), seed)
 
 
-@F.arrow_udf(LongType())
-def count_words(text: pa.Array) -> pa.Array:
+def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work(), after which a worker that is used again gives its free memory back, so that stages don't add up."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def batch_udf(work: Callable[[pa.Array], pa.Array], kind):
+    """An Arrow UDF of one column, trimmed."""
+    every = trimmed(lambda batches: map(work, batches))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from every(batches)
+
+    return F.arrow_udf(run, kind)
+
+
+def _count_words(text: pa.Array) -> pa.Array:
     """Words of UTF-8 texts given as binary; null has none. bytes.split() cuts at exactly the six ASCII spaces."""
     return pa.array([0 if x is None else len(x.split()) for x in text.to_pylist()], pa.int64())
 
 
+count_words = batch_udf(_count_words, LongType())
+
+
 def word_count(text: Column) -> Column:
     return count_words(text.cast("binary"))
 

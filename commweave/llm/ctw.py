@@ -13,8 +13,6 @@ depth 0 and 65,536 at depth 1 at most, and these two are completed on the driver
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -25,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commweave.llm.common import Cut, cut
+from commweave.llm.common import Cut, cut, trimmed
 
 DEPTH = 6
 END = b"\n"
@@ -99,18 +97,6 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.diff(np.r_[starts, len(keys)])
 
 
-def _trimmed(work: Callable[[Iterator], Iterator]):
-    """work(), after which a worker that is used again gives its free memory back, so that stages don't add up."""
-
-    def run(batches: Iterator) -> Iterator:
-        yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # not every C library can
-            ctypes.CDLL(None).malloc_trim(0)
-
-    return run
-
-
 class Weights:
     """What one level makes of zeros, ones and the sum of the children's logpw (None: no children), for each (context, node)."""
 
@@ -341,7 +327,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list
 
 def vocabulary(given: DataFrame) -> DataFrame:
     """(token, c, total) of (held_out, text as binary): training count and count of every token; the empty one is the end mark."""
-    return given.mapInArrow(_trimmed(_count_tokens), "token binary, c long, total long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
+    return given.mapInArrow(trimmed(_count_tokens), "token binary, c long, total long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
 
 def tree(given: DataFrame, cut_at: int | None = None, group: int = GROUP) -> DataFrame:
@@ -349,8 +335,8 @@ def tree(given: DataFrame, cut_at: int | None = None, group: int = GROUP) -> Dat
 
     cut_at: where the tree is cut, from 2 to DEPTH - 1; by default as deep as makes subtrees of ``group`` events at most.
     """
-    parts = given.mapInArrow(_trimmed(_count_events), "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
-    counts = cut(parts.mapInArrow(_trimmed(_add_events), "key long, n long, m long"))
+    parts = given.mapInArrow(trimmed(_count_events), "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    counts = cut(parts.mapInArrow(trimmed(_add_events), "key long, n long, m long"))
     last = lambda c: F.shiftrightunsigned("key", 8 * (DEPTH + 1 - c))
     if cut_at is None:
         for cut_at in range(LEAST_CUT, DEPTH):
@@ -366,7 +352,7 @@ def tree(given: DataFrame, cut_at: int | None = None, group: int = GROUP) -> Dat
         return pd.DataFrame(dict(zip(columns, (f.context.view(np.int64), f.node, f.zeros, f.ones, f.logpw))))
 
     # Entries by depth, from the cut up to depth 2; each is the sum of its children below.
-    entries = {cut_at: Cut(grouped.repartition("g").sortWithinPartitions("g", "key").mapInPandas(_trimmed(_whole_groups(summary)), kinds))}
+    entries = {cut_at: Cut(grouped.repartition("g").sortWithinPartitions("g", "key").mapInPandas(trimmed(_whole_groups(summary)), kinds))}
 
     def parents(d: int) -> DataFrame:
         by = F.shiftrightunsigned("context", 8).alias("context")
@@ -410,7 +396,7 @@ def tree(given: DataFrame, cut_at: int | None = None, group: int = GROUP) -> Dat
         above = tuple(up[x].to_numpy() for x in "abf") if given_above else top.to(f.context.view(np.int64) >> 8, f.node)
         return pd.DataFrame({"key": ev["key"].to_numpy(), "m": ev["m"].to_numpy(np.int64), "lp": f.log10(*above)})
 
-    return cut(both.repartition("g").sortWithinPartitions("g", "key").mapInPandas(_trimmed(_whole_groups(score)), "key long, m long, lp double"))
+    return cut(both.repartition("g").sortWithinPartitions("g", "key").mapInPandas(trimmed(_whole_groups(score)), "key long, m long, lp double"))
 
 
 def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
@@ -501,7 +487,7 @@ def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: st
 
     kind = docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), F.col(text).cast("binary").alias("text"))
-    parts = cut(texts.mapInArrow(_trimmed(split), f"row long, doc_id {kind}, held_out boolean, bytes long, token binary, key long, tf long, known long, base double, score double"))
+    parts = cut(texts.mapInArrow(trimmed(split), f"row long, doc_id {kind}, held_out boolean, bytes long, token binary, key long, tf long, known long, base double, score double"))
     chance = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     none = lambda of, name: F.lit(None).cast(of).alias(name)
     same = ["row", none(kind, "doc_id"), none("boolean", "held_out"), none("long", "bytes")]

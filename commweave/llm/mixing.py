@@ -12,7 +12,8 @@ from __future__ import annotations
 import json
 from collections import deque
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,18 +177,25 @@ def mix(docs: DataFrame, doc_id: Column, source: Column, size: Column, alike: Co
     placed = keyed.join(F.broadcast(plan) if small else plan, "_cell").withColumn("_bucket", coarse)
     clear = placed.where(F.coalesce(F.col("_bucket") != F.col("_end"), F.lit(True))).withColumn("_repeats", F.col("_copies") + F.when(F.col("_bucket") < F.col("_end"), 1).otherwise(0))
     ending = placed.where(F.col("_bucket") == F.col("_end")).withColumns({"_order": F.xxhash64(F.lit(seed + 1), "_id", "_alike"), "_repeats": F.col("_copies")})
-    chosen = ending.groupBy("_cell").applyInPandas(_fill, ending.schema)
+    # Only ids' hashes and sizes go to Python; rows alike in these are numbered, and the first ones are taken.
+    by = ["_cell", "_order", "_size"]
+    counted = ending.groupBy(*by).agg(F.count("*").alias("n"), F.first("_left").alias("_left"))
+    taken = counted.groupBy("_cell").applyInArrow(_fill, "_cell string, _order long, _size long, _taken long")
+    numbered = ending.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))).join(taken, by, "left")
+    chosen = numbered.withColumn("_repeats", F.col("_copies") + F.coalesce(F.col("_nth") <= F.col("_taken"), F.lit(False)).cast("int"))
     back = [*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "_repeats"]
     return clear.select(*back).unionByName(chosen.select(*back))
 
 
-def _fill(docs: pd.DataFrame) -> pd.DataFrame:
-    """In seeded order, once more every document that still fits; what stays open is less than any document left out."""
-    docs = docs.sort_values(["_order", "_size"], kind="stable").reset_index(drop=True)
-    left, extra = int(docs["_left"].iloc[0]), []
-    for n in docs["_size"]:
-        fits = 0 < n <= left
-        extra.append(int(fits))
-        left -= n * fits
-    docs["_repeats"] = (docs["_repeats"] + extra).astype("int32")
-    return docs
+def _fill(docs: pa.Table) -> pa.Table:
+    """In seeded order, once more every document that still fits; what stays open is less than any document left out.
+
+    n documents are alike in _order and _size; _taken of them fit. Those of which none fits are left out.
+    """
+    order, sizes, n = (docs.column(x).to_numpy() for x in ("_order", "_size", "n"))
+    at, left, taken = np.lexsort((sizes, order)), docs.column("_left")[0].as_py(), np.zeros(len(n), np.int64)
+    for i in at.tolist():
+        if 0 < sizes[i] <= left:
+            taken[i] = min(n[i], left // sizes[i])
+            left -= int(taken[i] * sizes[i])
+    return docs.select(["_cell", "_order", "_size"]).append_column("_taken", pa.array(taken)).filter(pa.array(taken > 0))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commweave.llm.common import Cut, shingle_digests
+from commweave.llm.common import Cut, batch_udf, shingle_digests
 from commweave.llm.graph import connected_components
 from commweave.llm.simhash import links, of_digests
 
@@ -56,17 +56,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(shingle: int):
-    @F.arrow_udf("array<bigint>")
     def sets(text: pa.Array) -> pa.Array:
         return _lists([shingle_set(x, shingle) for x in text.to_pylist()])
 
-    return sets
+    return batch_udf(sets, "array<bigint>")
 
 
 def _marks(shingle: int, similarity: float, frequent: np.ndarray, rank: np.ndarray):
     """sig: hash of the set; n: its size; fp: SimHash; bits: its parity bitmap; prefix: its first shingles, frequent ones last."""
 
-    @F.arrow_udf("struct<sig: bigint, n: int, fp: bigint, bits: array<bigint>, prefix: array<bigint>>")
     def marks(text: pa.Array) -> pa.Array:
         sig, n, fp, bits, prefix = [], [], [], [], []
         for x in text.to_pylist():
@@ -84,7 +82,7 @@ def _marks(shingle: int, similarity: float, frequent: np.ndarray, rank: np.ndarr
             prefix.append(s[np.lexsort((s, late))[:first]])
         return pa.StructArray.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), _lists(bits), _lists(prefix)], ["sig", "n", "fp", "bits", "prefix"])
 
-    return marks
+    return batch_udf(marks, "struct<sig: bigint, n: int, fp: bigint, bits: array<bigint>, prefix: array<bigint>>")
 
 
 def _frequent(docs: DataFrame, text: Column, shingle: int) -> tuple[np.ndarray, np.ndarray]:

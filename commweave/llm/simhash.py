@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from commweave.llm.common import cut, shingle_digests
+from commweave.llm.common import cut, shingle_digests, trimmed
 from commweave.llm.graph import connected_components
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
@@ -197,7 +197,7 @@ def plan(together: np.ndarray, sample: np.ndarray, n: int, parts=PARTS, radius:
 def links(distinct: DataFrame, parts=PARTS, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (fp) to links (src, dst) that join exactly those within the radius, transitively."""
     together = np.zeros(BITS * BITS)
-    for r in distinct.select("fp").mapInPandas(_co_occurrence, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for r in distinct.select("fp").mapInPandas(trimmed(_co_occurrence), "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
         together[r["k"]] = r["n"]
     n = distinct.count()
     sample = np.array([r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
@@ -223,7 +223,7 @@ def links(distinct: DataFrame, parts=PARTS, block: int = BLOCK, radius: int = RA
         paired = sized.select("key", "fp", "own", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))  # keys that fall together are only compared in vain
         keyed = probed.join(large, "key", "left_anti").select("key", "fp", "own").unionByName(paired.select(key.alias("key"), "fp", "own"))
-    found = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_forest(radius), "src long, dst long")
+    found = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(trimmed(_forest(radius)), "src long, dst long")
     return found.distinct()
 
 
